@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert_shards, language_id, license_scan, mixing, quality_rules, simhash, token_shards, toxicity
+from . import decontamination, hilbert_shards, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, token_shards, toxicity
 from .common import read_table
 
 
@@ -45,6 +45,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -58,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan, op2_decontamination, op3_toxicity, op4_mixing, op5_token_shards,
-        op6_hilbert_shards, op7_language_id, op9_simhash, op10_quality_rules,
+        op6_hilbert_shards, op7_language_id, op8_substring_dedup, op9_simhash, op10_quality_rules,
     )
     return {f.__name__: f for f in found}
 
