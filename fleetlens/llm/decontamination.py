@@ -28,7 +28,7 @@ WIDTH = 5
 LITERALS = 3
 SHARE = 0.8
 BROADCAST_ROWS = 500_000
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*"
 #: Unit words that become a placeholder after a number.
 UNITS = (
     "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ft|in|inch|inches|feet|mile|miles|metre|metres|meter|meters|litre|litres|liter|liters|ml|l|s|sec"
@@ -36,7 +36,7 @@ UNITS = (
 )
 UNIT = rf"(⟨n[^⟩]*⟩ )\s*({UNITS})(?![\p{{L}}\p{{N}}])"
 NAME = r"\p{Lu}(?<=[\p{Ll},;]\s\p{Lu})\p{Ll}+"
-TOKEN = r"⟨[^⟩]*⟩|\p{L}[\p{L}\p{M}]*"
+TOKEN = r"⟨[^⟩]*⟩|\p{L}[\p{L}\p{M}\p{N}]*"
 
 
 def template_tokens(text: Column, keep: bool = False) -> Column:
