@@ -22,17 +22,17 @@ from __future__ import annotations
 
 import base64
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, with_running_sums
+from .common import stored, with_running_sums
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits a text before merging.
@@ -92,20 +92,23 @@ class Tokenizer:
 
 
 def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_OF_TEXT) -> DataFrame:
-    """(doc_id, n, crc, ids) per row; the vocabulary file (under 1 MB) is broadcast from the driver."""
+    """(doc_id, n, crc, packed) per row; the vocabulary file (under 1 MB) is broadcast from the driver.
+
+    Ids travel compressed (zstd) until they are put together.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(open(vocabulary, "rb").read())
     tail = array("H", [end]).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Tokenizer(shared.value)
+        encode, pack = Tokenizer(shared.value), zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             ids = [(encode(t) if t else b"") + tail for t in b["text"]]
             yield pd.DataFrame(
-                {"doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // 2 for x in ids], "crc": [zlib.crc32(x) for x in ids], "ids": ids}
+                {"doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // 2 for x in ids], "crc": [zlib.crc32(x) for x in ids], "packed": [pack(x) for x in ids]}
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, crc long, ids binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, crc long, packed binary")
 
 
 def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -129,28 +132,20 @@ def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS)
     return x.astype(np.int64)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Write once, compressed, into the shared folder and read back: tokenising is the dear part."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def training_order(
     docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY, end: int = END_OF_TEXT
 ) -> DataFrame:
     """One row per sequence: slot, shard, row, seq, doc_ids, n_tokens (without filling), crc32 and ids (binary)."""
     spark = docs.sparkSession
-    stored = _stored(tokenize(docs, vocabulary, end).withColumn("uid", F.monotonically_increasing_id()))
-    narrow = stored.select("doc_id", "n", "crc", "uid")
+    kept = stored(tokenize(docs, vocabulary, end).withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    narrow = kept.select("doc_id", "n", "crc", "uid")
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = -(-total // seq_len)
     placed = with_running_sums(narrow, ["doc_id", "n", "crc", "uid"], {"start": F.col("n")}).select("uid", "start")
-    joined = stored.select("uid", "doc_id", "n", "ids").join(placed, "uid")
+    joined = kept.select("uid", "doc_id", "n", "packed").join(placed, "uid")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
             start, n = b["start"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
             first, last = start // seq_len, (start + n - 1) // seq_len
@@ -159,13 +154,13 @@ def training_order(
             seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             a = np.maximum(seq * seq_len, start[row])
             z = np.minimum((seq + 1) * seq_len, (start + n)[row])
-            ids = b["ids"].tolist()
+            ids = [unpack(x) for x in b["packed"]]
             offset = start[row]
-            pieces = [ids[r][2 * i : 2 * j] for r, i, j in zip(row.tolist(), (a - offset).tolist(), (z - offset).tolist(), strict=True)]
+            pieces = [pack(ids[r][2 * i : 2 * j]) for r, i, j in zip(row.tolist(), (a - offset).tolist(), (z - offset).tolist(), strict=True)]
             doc = b["doc_id"].astype("Int64").to_numpy()[row]
-            yield pd.DataFrame({"slot": permute(seq, size, key), "seq": seq, "pos": a % seq_len, "doc_id": pd.array(doc, dtype="Int64"), "ids": pieces})
+            yield pd.DataFrame({"slot": permute(seq, size, key), "seq": seq, "pos": a % seq_len, "doc_id": pd.array(doc, dtype="Int64"), "packed": pieces})
 
-    pieces = joined.mapInPandas(cut, "slot long, seq long, pos long, doc_id long, ids binary")
+    pieces = joined.mapInPandas(cut, "slot long, seq long, pos long, doc_id long, packed binary")
     shards = max(1, -(-size // shard_slots))
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
     shard = F.floor(F.col("slot") / shard_slots).cast("long")
@@ -175,6 +170,7 @@ def training_order(
     fill = array("H", [end]).tobytes()
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
         slot, seq, docs_in, ids = -1, -1, [], []
 
         def record() -> tuple:
@@ -185,13 +181,13 @@ def training_order(
         names = ["slot", "shard", "row", "seq", "doc_ids", "n_tokens", "ids_crc32", "ids"]
         for b in batches:
             done = []
-            for s, q, d, x in zip(b["slot"].tolist(), b["seq"].tolist(), b["doc_id"].astype(object).tolist(), b["ids"].tolist(), strict=True):
+            for s, q, d, x in zip(b["slot"].tolist(), b["seq"].tolist(), b["doc_id"].astype(object).tolist(), b["packed"].tolist(), strict=True):
                 if s != slot:
                     if slot >= 0:
                         done.append(record())
                     slot, seq, docs_in, ids = s, q, [], []
                 docs_in.append(None if pd.isna(d) else int(d))
-                ids.append(x)
+                ids.append(unpack(x))
             for k in range(0, len(done), 2048):
                 yield pd.DataFrame(done[k : k + 2048], columns=names)
         if slot >= 0:
