@@ -28,6 +28,7 @@ doc_id and text is the same document, and gets the same answer.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ LENGTH = 100
 ANCHOR = 24
 SIDE = LENGTH - ANCHOR
 HOT = 1000
-#: Bytes of a text hashed at a time, and how far neighbouring pieces overlap.
-PIECE = 1 << 19
+#: Bytes hashed at a time, and how far neighbouring pieces of a long text overlap.
+PIECE = 1 << 17
 MARGIN = 2 * LENGTH
 #: Contexts in one suffix array.
 BATCH = 12_000
@@ -97,29 +98,38 @@ def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[:n], out[width - span : width - span + n])
 
 
-def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes, context hashes and lengths to the context's right end of the anchors of a text."""
-    n = len(data)
-    if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Anchors of a few texts laid end to end: text, position, hash, context hash, bytes from the anchor to the context's end.
+
+    Windows that reach over the end of a text count for nothing.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
     width = LENGTH - ANCHOR + 1
-    parts = []
-    for core in range(0, n, PIECE):
-        a, b = max(0, core - MARGIN), min(n, core + PIECE + MARGIN)
-        if b - a < LENGTH:
-            continue
-        hashes = Hashes(data[a:b])
-        at = np.arange(b - a - ANCHOR + 1)
-        h = hashes.of(at, at + ANCHOR)
-        low = _slide(h, width, np.minimum)
-        pad = np.zeros(width - 1, np.uint64)
-        chosen = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), width, np.maximum) == h)
-        chosen = chosen[(chosen + a >= core) & (chosen + a < core + PIECE)]
-        lo, hi = np.maximum(chosen + a - SIDE, 0) - a, np.minimum(chosen + a + LENGTH, n) - a
-        with np.errstate(over="ignore"):
-            context = _mix(hashes.of(lo, hi) + (chosen - lo).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + (hi - chosen).astype(np.uint64))
-        parts.append((chosen + a, h[chosen], context, hi - chosen))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(data) < LENGTH:
+        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    hashes = Hashes(data)
+    at = np.arange(len(data) - ANCHOR + 1)
+    h = hashes.of(at, at + ANCHOR) | np.uint64(1)
+    low = _slide(h, width, np.minimum)
+    for e in ends[:-1].tolist():
+        low[max(0, e - LENGTH + 1) : e] = 0
+    pad = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), width, np.maximum) == h)
+    text = np.searchsorted(ends, chosen, side="right")
+    start = (ends - sizes)[text]
+    lo, hi = np.maximum(chosen - SIDE, start), np.minimum(chosen + LENGTH, ends[text])
+    with np.errstate(over="ignore"):
+        context = _mix(hashes.of(lo, hi) + (chosen - lo).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + (hi - chosen).astype(np.uint64))
+    return text, chosen - start, h[chosen], context, hi - chosen
+
+
+def _pieces(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """A long text in overlapping pieces: where its own part begins and ends, where the piece begins, its bytes."""
+    for core in range(0, max(1, len(data)), PIECE):
+        a = max(0, core - MARGIN)
+        yield core, core + PIECE, a, data[a : core + PIECE + MARGIN]
 
 
 def _bytes(text: str | None) -> bytes:
@@ -129,24 +139,33 @@ def _bytes(text: str | None) -> bytes:
 def anchors(docs: DataFrame) -> DataFrame:
     """(ah, ch, doc_id, pos, r): anchor and context hashes with their place and the context's bytes from the anchor on."""
 
+    def solve(docs_: list[int], own: list[tuple], texts: list[bytes]) -> pd.DataFrame:
+        text, pos, ah, ch, r = _anchors(texts)
+        begin, end, offset = (np.array(x, dtype=np.int64)[text] for x in zip(*own, strict=True))
+        pos = pos + offset
+        keep = (pos >= begin) & (pos < end)
+        doc = np.array(docs_, dtype=np.int64)[text]
+        return pd.DataFrame({
+            "ah": ah.view(np.int64)[keep], "ch": ch.view(np.int64)[keep], "doc_id": doc[keep], "pos": pos[keep].astype(np.int32), "r": r[keep].astype(np.int32),
+        })
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, own, texts, size = [], [], [], 0
         for b in batches:
-            found, ids, size = [], [], 0
             for doc, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
-                x = _anchors(np.frombuffer(_bytes(text), np.uint8))
-                if len(x[0]) and not pd.isna(doc):
-                    found.append(x)
-                    ids.append(np.full(len(x[0]), doc, np.int64))
-                    size += len(x[0])
-                if size > 200_000:
-                    yield _frame(found, ids)
-                    found, ids, size = [], [], 0
-            if found:
-                yield _frame(found, ids)
-
-    def _frame(found, ids) -> pd.DataFrame:
-        pos, ah, ch, r = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"ah": ah.view(np.int64), "ch": ch.view(np.int64), "doc_id": np.concatenate(ids), "pos": pos.astype(np.int32), "r": r.astype(np.int32)})
+                data = _bytes(text)
+                if pd.isna(doc) or len(data) < LENGTH:
+                    continue
+                for begin, end, offset, piece in _pieces(data):
+                    if size + len(piece) > PIECE + 2 * MARGIN and texts:
+                        yield solve(ids, own, texts)
+                        ids, own, texts, size = [], [], [], 0
+                    ids.append(doc)
+                    own.append((begin, end, offset))
+                    texts.append(piece)
+                    size += len(piece)
+        if texts:
+            yield solve(ids, own, texts)
 
     return docs.select("doc_id", "text").mapInPandas(run, "ah long, ch long, doc_id long, pos int, r int")
 
@@ -217,7 +236,16 @@ def repeated_windows(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right:
 def _solve(groups: DataFrame) -> DataFrame:
     """(doc_id, a, b) of contexts dealt out by anchor: repeated bytes around their anchors."""
 
+    half = SIDE // 2
+
     def solve(rows: list[tuple]) -> pd.DataFrame:
+        # Half of a window's other bytes lies on one side of its anchor: contexts that share neither side are alone.
+        before = [(ah, c[k - half : k]) if k >= half else None for ah, _, _, k, c in rows]
+        after = [(ah, c[k + ANCHOR : k + ANCHOR + half]) if len(c) >= k + ANCHOR + half else None for ah, _, _, k, c in rows]
+        n_before, n_after = Counter(before), Counter(after)
+        rows = [r for r, x, y in zip(rows, before, after, strict=True) if (x and n_before[x] > 1) or (y and n_after[y] > 1)]
+        if not rows:
+            return pd.DataFrame({"doc_id": [], "a": [], "b": []}, dtype=np.int64)
         _, doc, pos, left, contexts = (list(x) for x in zip(*rows, strict=True))
         doc, pos, left = (np.array(x, dtype=np.int64) for x in (doc, pos, left))
         right = np.array([len(c) for c in contexts], dtype=np.int64) - left
@@ -308,14 +336,13 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, a, b): spans, overlapping each other, that cover every byte to remove."""
     found = anchors(docs)
-    often = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("low"), F.max("ch").alias("high")).filter("n > 1")
-    several = often.select("ah", (F.col("low") != F.col("high")).alias("several"))
-    kept = stored(found.join(several, "ah"), "anchors")
+    often = found.groupBy("ah").count().filter("count > 1").select("ah")
+    kept = stored(found.join(often, "ah"), "anchors")
     first = kept.groupBy("ch").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
     again = kept.join(first.filter("n > 1"), "ch").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     whole = again.select("doc_id", F.greatest(F.lit(0), F.col("pos") - SIDE).cast("long").alias("a"), (F.col("pos") + F.col("r")).cast("long").alias("b"))
-    firsts = kept.filter("several").groupBy("ah", "ch").agg(F.min(F.struct("doc_id", "pos", "r")).alias("f"))
-    sizes = firsts.groupBy("ah").agg((F.count("*") > hot).alias("hot"))
+    firsts = kept.groupBy("ah", "ch").agg(F.min(F.struct("doc_id", "pos", "r")).alias("f"))
+    sizes = firsts.groupBy("ah").count().filter("count > 1").select("ah", (F.col("count") > hot).alias("hot"))
     places = firsts.join(sizes, "ah").select("f.doc_id", "f.pos", "f.r", "ah", "hot")
     contexts = stored(_contexts(docs, places), "contexts")
     mixed = _solve(contexts.filter("not hot").drop("hot"))

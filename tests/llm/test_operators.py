@@ -296,12 +296,17 @@ def test_substrings_of_odd_tables(spark, odd, empty):
     assert substring_dedup.remove_repeats(odd).count() == odd.count() and substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_long_text_in_pieces(monkeypatch):
-    data = np.frombuffer(prose(5, 3000).encode(), np.uint8)
-    whole = substring_dedup._anchors(data)
+def test_long_text_in_pieces(spark, monkeypatch):
+    text = prose(5, 3000)
+    _, pos, ah, ch, r = substring_dedup._anchors([text.encode()])
+    whole = sorted(zip(ah.view(np.int64).tolist(), ch.view(np.int64).tolist(), pos.tolist(), r.tolist(), strict=True))
     monkeypatch.setattr(substring_dedup, "PIECE", 1000)
-    cut = substring_dedup._anchors(data)
-    assert all((a == b).all() for a, b in zip(whole, cut))
+    got = set()
+    for begin, end, offset, piece in substring_dedup._pieces(text.encode()):
+        _, pos, ah, ch, r = substring_dedup._anchors([prose(6, 50).encode(), piece, b"short"])
+        keep = _ == 1
+        got |= {x for x in zip(ah.view(np.int64)[keep].tolist(), ch.view(np.int64)[keep].tolist(), (pos[keep] + offset).tolist(), r[keep].tolist(), strict=True) if begin <= x[2] < end}
+    assert sorted(got) == whole
 
 
 # --- 9 SimHash
