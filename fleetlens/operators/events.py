@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import EVENT_MAX_WINDOW_SEC, event_rank, speed_rate_pairs
@@ -16,10 +16,13 @@ CRITERIA = {
 DISPLAY_ORDER = ("accel", "start", "decel", "stop")
 
 
-def criteria(spark: SparkSession) -> DataFrame:
-    rows = [(v, *a, s, *d, x) for v, (a, s, d, x) in CRITERIA.items()]
-    names = "vehicle string, a1 double, a2 double, a3 double, start double, d1 double, d2 double, d3 double, stop double"
-    return spark.createDataFrame(rows, names)
+LIMITS = ("a1", "a2", "a3", "start", "d1", "d2", "d3", "stop")
+
+
+def criteria() -> Column:
+    """Array of the classes with their limits."""
+    rows = [(v, (*a, s, *d, x)) for v, (a, s, d, x) in CRITERIA.items()]
+    return F.array(*[F.struct(F.lit(v).alias("vehicle"), *[F.lit(x).alias(k) for k, x in zip(LIMITS, limits, strict=True)]) for v, limits in rows])
 
 
 def vehicle_or_car(name: str) -> Column:
@@ -41,7 +44,7 @@ def classify(v0: Column, v1: Column, rate: Column) -> Column:
 def hits(points: DataFrame) -> DataFrame:
     """Speed changes that meet a criterion, for every vehicle class."""
     pairs = speed_rate_pairs(points).filter(F.col("dt") <= EVENT_MAX_WINDOW_SEC)
-    rated = pairs.crossJoin(F.broadcast(criteria(points.sparkSession)))  # three rows
+    rated = pairs.select("*", F.inline(criteria()))
     return rated.withColumn("kind", classify(F.col("v0"), F.col("v1"), F.col("rate"))).filter("kind is not null").select(
         "case_id", "vehicle", "kind", F.col("prev_idx").alias("start_index"), F.col("cur_idx").alias("end_index"), "rate"
     )
