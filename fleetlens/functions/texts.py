@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: How names of rear recordings follow from front ones.
-REAR_RULES = ((r"_F(\.[^.]+)$", "_R$1"), (r"F(\.[^.]+)$", "R$1"), (r"(?i)_front(\.[^.]+)$", "_rear$1"), (r"(?i)front", "rear"), (r"_1(\.[^.]+)$", "_2$1"))
+#: Endings of front recordings' names and what rear ones have instead, likeliest first.
+REAR_RULES = (
+    (r"(?i)([_\-])F([_\-]\d+)$", ("$1R$2",)),
+    (r"(?i)([_\-])F$", ("$1R",)),
+    (r"(?i)([_\-])N$", ("$1R",)),
+    (r"(?i)([_\-])(front|fr)$", ("$1rear", "$1Rear", "$1REAR", "$1R", "$1back")),
+    (r"(?i)F$", ("R",)),
+)
 
 
 def rear_candidates(name: Column) -> Column:
-    """Names that the rear recording may have, in order, each extension case, without the name itself."""
-    made = [F.regexp_replace(name, p, r) for p, r in REAR_RULES]
-    stem, ext = (lambda n: F.regexp_replace(n, r"\.[^.]*$", "")), (lambda n: F.regexp_extract(n, r"(\.[^.]*)$", 1))
-    cases = [c for n in made for c in (n, F.concat(stem(n), F.lower(ext(n))), F.concat(stem(n), F.upper(ext(n))))]
-    return F.array_except(F.array(*cases), F.array(name, F.concat(stem(name), F.lower(ext(name))), F.concat(stem(name), F.upper(ext(name)))))
+    """Names that the rear recording may have, in order, each with the extension's cases, without the name itself."""
+    stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    none = F.array().cast("array<string>")
+    found = []
+    for pattern, endings in REAR_RULES:
+        made = [F.concat(F.regexp_replace(stem, pattern, e), x) for e in endings for x in (ext, F.lower(ext), F.upper(ext))]
+        found.append(F.when(stem.rlike(pattern), F.array(*made)).otherwise(none))
+    return F.array_except(F.array_distinct(F.concat(*found)), F.array(name))
 
 
 def normalize_model(c: Column) -> Column:
@@ -27,16 +36,23 @@ def safe_folder(number: Column, case_id: Column) -> Column:
     return F.concat(F.when(kept == "", "case").otherwise(kept), F.lit("_"), case_id.cast("string"))
 
 
+def _stem(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+
+
 def name_prefix(c: Column) -> Column:
-    return F.regexp_extract(c, r"^([^0-9]*)", 1)
+    """Letters and underscores that a file's name begins with, in capitals."""
+    return F.upper(F.regexp_extract(F.regexp_extract(c, r"([^/\\]*)$", 1), "^[A-Za-z_]+", 0))
 
 
 def digits(c: Column) -> Column:
-    return F.regexp_replace(c, "[^0-9]", "")
+    """The first 14 digits of a name as a number, 0 without any."""
+    return F.coalesce(F.substring(F.regexp_replace(c, "[^0-9]", ""), 1, 14).try_cast("long"), F.lit(0))
 
 
 def channel_tag(c: Column) -> Column:
-    return F.upper(F.regexp_extract(c, r"(?i)[_-]([fr])(?:\.[^.]*)?$", 1))
+    """Letters after the last digit of a name without its extension: f, r, rear ..."""
+    return F.lower(F.regexp_replace(F.regexp_extract(_stem(c), r"([^0-9]*)$", 1), r"^[_\- ]+|[_\- ]+$", ""))
 
 
 def html_escape(c: Column) -> Column:
@@ -61,10 +77,10 @@ def contains_ascii_ci(c: Column, q: str) -> Column:
 
 
 def format_size(c: Column) -> Column:
-    """Bytes as a number in its unit, and the unit."""
-    step = F.when(c >= 1 << 30, 30).when(c >= 1 << 20, 20).when(c >= 1 << 10, 10).otherwise(0)
-    unit = F.when(step == 30, "GB").when(step == 20, "MB").when(step == 10, "KB").otherwise("B")
-    return F.struct(F.bround(c / F.pow(F.lit(2.0), step), 1).alias("amount"), unit.alias("unit"))
+    """Bytes as a number with two decimals in its unit, and the unit."""
+    power = F.when(c >= 1 << 40, 4).when(c >= 1 << 30, 3).when(c >= 1 << 20, 2).when(c >= 1 << 10, 1).otherwise(0)
+    units = F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")])
+    return F.struct((F.rint(c / F.pow(F.lit(1024.0), power) * 100) / 100).alias("amount"), F.element_at(units, power + 1).alias("unit"))
 
 
 def duration_parts(seconds: Column) -> Column:
@@ -72,10 +88,13 @@ def duration_parts(seconds: Column) -> Column:
     return F.concat_ws(":", F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lpad(F.floor(s % 3600 / 60).cast("string"), 2, "0"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
-def tick_step(span: Column, most: int = 6) -> Column:
-    """The smallest axis step that needs no more than ``most`` ticks."""
-    steps = (1, 2, 5, 10, 15, 20, 30, 60, 120, 300, 600, 900, 1800, 3600)
-    out = F.lit(steps[-1])
-    for s in reversed(steps):
-        out = F.when(span / s <= most, s).otherwise(out)
-    return out
+#: Steps of long time axes, in seconds.
+TICK_STEPS = (20, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 14400, 43200, 86400, 172800, 604800)
+
+
+def tick_step(span: Column) -> Column:
+    """Seconds between ticks of a time axis: the smallest step with ten ticks at most."""
+    out = TICK_STEPS[-1] * F.ceil(span / (TICK_STEPS[-1] * 10)).cast("long")
+    for step in reversed(TICK_STEPS):
+        out = F.when(span / step <= 10, step).otherwise(out)
+    return F.when(span <= 5, 1).when(span <= 10, 2).when(span <= 100, 10).otherwise(out)

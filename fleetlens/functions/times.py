@@ -63,18 +63,22 @@ def to_display(date: Column, time: Column) -> Column:
     return F.coalesce(F.when(d.isNotNull(), F.concat(day.cast("string"), F.lit(" "), text, F.lit(" (UTC+9)"))), F.concat(text, F.lit(" (UTC+9)")), F.lit(""))
 
 
+#: How recorders write a time into file names.
+FILENAME_TIMES = (
+    r"(\d{4})(\d{2})(\d{2})[_\-](\d{2})(\d{2})(\d{2})",
+    r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})_(\d{2})",
+    r"(\d{4})(\d{2})(\d{2})-(\d{2})h(\d{2})m(\d{2})s",
+    r"(\d{4})-(\d{2})-(\d{2})[_ T](\d{2})[-:.](\d{2})[-:.](\d{2})",
+)
+
+
 def filename_timestamp(name: Column) -> Column:
-    """The first readable of: yyyymmdd_hhmmss, yyyymmddhhmmss, yyyy-mm-dd-hh-mm-ss and yymmdd_hhmmss."""
-    patterns = (
-        (r"(?<!\d)(20\d{6})[_-](\d{6})(?!\d)", "$1$2"), (r"(?<!\d)(20\d{12})(?!\d)", "$1"),
-        (r"(20\d{2})[-_.](\d{2})[-_.](\d{2})[-_ .](\d{2})[-_.](\d{2})[-_.](\d{2})", "$1$2$3$4$5$6"), (r"(?<!\d)(\d{6})[_-](\d{6})(?!\d)", "20$1$2"),
-    )
+    """The time in a file's name by the first form that gives a valid one."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
     found = []
-    for pattern, _ in patterns:
-        groups = pattern.count("(") - pattern.count("(?")
-        parts = [F.regexp_extract(name, pattern, i + 1) for i in range(groups)]
-        digits = F.concat(*parts) if groups != 2 or pattern.startswith(r"(?<!\d)(20") else F.concat(F.lit("20"), *parts)
-        found.append(F.try_to_timestamp(F.when(F.length(digits) == 14, digits), F.lit("yyyyMMddHHmmss")))
+    for pattern in FILENAME_TIMES:
+        digits = F.concat(*[F.regexp_extract(stem, pattern, i) for i in range(1, 7)])
+        found.append(F.try_to_timestamp(F.when(digits != "", digits), F.lit("yyyyMMddHHmmss")))
     return F.coalesce(*found)
 
 

@@ -6,23 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Statuses from worst to best.
-STATUS_ORDER = ("engine_failed", "timed_out", "failed", "partial", "gps_untrusted", "no_gps", "cancelled", "analyzing", "ok")
+STATUS_ORDER = ("timed_out", "engine_failed", "unsupported", "gps_untrusted", "no_gps", "unknown")
 MAX_DURATION_SEC = 7 * 86_400
-FAILURE_LINE = r"(?i)^\s*(error|fatal|traceback|exception|failed)\b"
+#: Forms of the lines with which extraction says that it broke off.
+FAILURE_LINES = (
+    r"^(?:AVI|MP4) \d+개 -> (?:예외: |integration_\w+\.py가 종료 코드 )",
+    r"^\[WARN\] (?:[^:\n]{1,200}: )?(?:예외 발생으로 처리 중단: |처리 중단 \(종료 코드 )",
+    r"^SKIP \S.*?(?:\sexception: |처리 실패\()",
+    r"^FAIL \S.*?(?:\s예외: |\s처리 중단 \()",
+    r"이 파일은 처리할 수 없습니다\.$",
+)
 
 
 def status_outcome() -> Column:
     """Outcome of an extraction from its facts: timed_out, exit_code, failure_line, fixes, coords, out_of_range, false_flags, ran, no_gps_marker."""
     return (
         F.when(F.col("timed_out"), "timed_out").when(F.col("exit_code") != 0, "engine_failed")
-        .when(F.col("failure_line").isNotNull() & (F.col("fixes") == 0), "failed").when((F.col("fixes") > 0) & F.col("failure_line").isNotNull(), "partial").when(F.col("fixes") > 0, "ok")
-        .when(F.col("out_of_range") > 0, "failed").when((F.col("coords") > 0) | F.col("false_flags"), "gps_untrusted").when(F.col("ran") | F.col("no_gps_marker"), "no_gps").otherwise("engine_failed")
+        .when(F.col("failure_line").isNotNull(), "engine_failed").when(F.col("fixes") > 0, "ok").when(F.col("out_of_range") > 0, "engine_failed")
+        .when((F.col("coords") > 0) | F.col("false_flags"), "gps_untrusted").when(F.col("ran") | F.col("no_gps_marker"), "no_gps").otherwise("engine_failed")
     )
 
 
 def worst_status(rows: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
+    """The worst status of each group; ok only where all are, unlisted ones after the listed."""
     place = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col(status))
-    rank = F.when(place == 0, len(STATUS_ORDER) + 1).otherwise(place)
+    rank = F.when(F.col(status) == "ok", len(STATUS_ORDER) + 2).when(place == 0, len(STATUS_ORDER) + 1).otherwise(place)
     return rows.groupBy(*keys).agg(F.min_by(status, F.struct(rank, F.col(status))).alias("worst"))
 
 
@@ -44,7 +52,9 @@ def plausible_duration(d: Column) -> Column:
 
 def failure_lines(lines: DataFrame) -> DataFrame:
     """First line of each run that reports a failure; lines(run_id, line_no, line)."""
-    return lines.filter(F.col("line").rlike(FAILURE_LINE)).groupBy("run_id").agg(F.min_by("line", "line_no").alias("failure_line"))
+    text = F.trim("line")
+    found = lines.filter(text.rlike("|".join(f"(?:{p})" for p in FAILURE_LINES)))
+    return found.groupBy("run_id").agg(F.min_by(F.substring(text, 1, 300), "line_no").alias("failure_line"))
 
 
 def warnings_shown(lines: DataFrame, most: int = 300, width: int = 500) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.texts import normalize_model
+
 MAX_NAME_OFFSET_SEC = 3
 MAX_RECORDED_OFFSET_SEC = 10
 SIGNATURE = ("container", "brand", "udta", "model", "codec")
@@ -16,21 +18,28 @@ def differs(a: Column, b: Column) -> Column:
     return known & (a != b)
 
 
+def _device(a, b) -> list[Column]:
+    """Differences of two signatures: the container, or else model, brand, metadata and codec."""
+    other = differs(a("container"), b("container"))
+    model = differs(normalize_model(a("model")), normalize_model(b("model")))
+    return [F.when(other, "container"), F.when(~other & model, "model"), *[F.when(~other & differs(a(k), b(k)), k) for k in ("brand", "udta", "codec")]]
+
+
 def compare_pairs(pairs: DataFrame) -> DataFrame:
     """Problems of each row of pairs(pair_id, front struct, rear struct), in order, and whether there are none.
 
-    A side has path, sha256, name_time, duration, recorded_at and the parts of its signature.
+    A side has path, sha256, name_time, duration, recorded_at and the parts of
+    its signature. The same file, or the same content, ends the comparison.
     """
     f, r = (lambda c: F.col(f"front.{c}")), (lambda c: F.col(f"rear.{c}"))
     allowed = F.greatest(F.lit(2.0), 0.05 * F.greatest(f("duration"), r("duration")))
     found = [
-        F.when(f("path") == r("path"), "same_file"), F.when((f("path") != r("path")) & (f("sha256") == r("sha256")), "same_content"),
-        *[F.when(differs(f(s), r(s)), s) for s in SIGNATURE],
-        F.when(F.abs(F.unix_timestamp(f("name_time")) - F.unix_timestamp(r("name_time"))) > MAX_NAME_OFFSET_SEC, "name_time"),
+        *_device(f, r), F.when(F.abs(F.unix_timestamp(f("name_time")) - F.unix_timestamp(r("name_time"))) > MAX_NAME_OFFSET_SEC, "name_time"),
         F.when(F.abs(f("duration") - r("duration")) > allowed, "duration"),
         F.when(F.abs(F.unix_timestamp(f("recorded_at")) - F.unix_timestamp(r("recorded_at"))) > MAX_RECORDED_OFFSET_SEC, "recorded_at"),
     ]
-    return pairs.select("pair_id", F.array_compact(F.array(*found)).alias("problems")).withColumn("ok", F.size("problems") == 0)
+    problems = F.when(f("path") == r("path"), F.array(F.lit("same_file"))).when(f("sha256") == r("sha256"), F.array(F.lit("same_content"))).otherwise(F.array_compact(F.array(*found)))
+    return pairs.select("pair_id", problems.alias("problems")).withColumn("ok", F.size("problems") == 0)
 
 
 def choose_basis(clips: DataFrame) -> DataFrame:
@@ -41,9 +50,9 @@ def choose_basis(clips: DataFrame) -> DataFrame:
     return out.withColumn("start", F.when(F.col("basis") == "gps", F.col("gps_start")).when(F.col("basis") == "filename", F.col("name_start")))
 
 
-def signature_problems(clips: DataFrame, keys: tuple[str, ...] = SIGNATURE) -> DataFrame:
+def signature_problems(clips: DataFrame) -> DataFrame:
     """Clips whose signature differs from their case's first one, and in what."""
-    first = clips.groupBy(F.col("case_id").alias("_c")).agg(F.min_by(F.struct(*keys), "clip").alias("first"))
+    first = clips.groupBy(F.col("case_id").alias("_c")).agg(F.min_by(F.struct(*SIGNATURE), "clip").alias("first"))
     met = clips.join(first, F.col("case_id") == F.col("_c"))
-    wrong = F.array_compact(F.array(*[F.when(differs(F.col(k), F.col(f"first.{k}")), k) for k in keys]))
+    wrong = F.array_compact(F.array(*_device(lambda k: F.col(f"first.{k}"), lambda k: F.col(k))))
     return met.select("case_id", "clip", wrong.alias("differs")).filter(F.size("differs") > 0)

@@ -111,7 +111,7 @@ def record_groups(points: DataFrame) -> DataFrame:
 
 
 def headings(points: DataFrame) -> DataFrame:
-    """Direction of travel of every fix row: the device's while moving, else the bearing over 2 m or more, else the last one.
+    """Direction of travel of every fix row: while moving the device's, else the bearing over 2 m or more; else the last one.
 
     The carried heading is dropped where time runs back or stands still for over five seconds.
     """
@@ -122,9 +122,9 @@ def headings(points: DataFrame) -> DataFrame:
     rows = rows.withColumn("_new", F.coalesce((gap < 0) | (gap > 5), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(so_far()))
     here = [F.col(c) for c in ("latitude", "longitude")]
     there = [F.col(f"_p_{c}") for c in ("latitude", "longitude")]
-    moving = F.col("track_deg").isNotNull() & (F.coalesce("speed_kmh", F.lit(0.0)) >= 3)
+    moving = P.finite("speed_kmh") & (F.col("speed_kmh") >= 3)
     walked = (F.col("_new") == 0) & (geo.haversine_m(*there, *here) >= 2)
-    own = F.when(moving, F.col("track_deg") % 360).when(walked, geo.bearing_deg(*there, *here))
+    own = F.when(moving & P.finite("track_deg"), F.col("track_deg") % 360).when(moving & walked, geo.bearing_deg(*there, *here))
     run = Window.partitionBy("case_id", "_run").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("_own", own).select("case_id", "row_idx", F.last("_own", ignorenulls=True).over(run).alias("heading"))
 
@@ -168,5 +168,5 @@ def polyline_runs(points: DataFrame, events: DataFrame) -> DataFrame:
 
 def event_rank(name: str) -> Column:
     """Order in which kinds of events take precedence."""
-    order = F.create_map(*[x for i, k in enumerate(("stop", "start", "decel", "accel")) for x in (F.lit(k), F.lit(i))])
+    order = F.create_map(*[x for i, k in enumerate(("stop", "start", "accel", "decel")) for x in (F.lit(k), F.lit(i))])
     return F.coalesce(order[F.col(name)], F.lit(99))

@@ -83,8 +83,8 @@ def fn_filename_timestamp(o: DataFrame) -> DataFrame:
     later = ts + F.expr("interval 20 years")  # names carry years of this century
     kind = F.expr("k % 4")
     name = (
-        F.when(kind == 0, F.concat(F.lit("REC_"), F.date_format(later, "yyyyMMdd_HHmmss"), F.lit("_F.mp4"))).when(kind == 1, F.concat(F.date_format(later, "yyyyMMddHHmmss"), F.lit(".avi")))
-        .when(kind == 2, F.concat(F.lit("EVT"), F.date_format(later, "yyyy-MM-dd-HH-mm-ss"), F.lit("F.mp4"))).otherwise("clip.mp4")
+        F.when(kind == 0, F.concat(F.lit("REC_"), F.date_format(later, "yyyyMMdd_HHmmss"), F.lit("_F.mp4"))).when(kind == 1, F.concat(F.date_format(later, "yyyyMMdd-HH'h'mm'm'ss's'"), F.lit(".avi")))
+        .when(kind == 2, F.concat(F.lit("EVT"), F.date_format(later, "yyyy-MM-dd_HH-mm-ss"), F.lit("F.mp4"))).otherwise("clip.mp4")
     )
     out = _orders(o).select("k", T.filename_timestamp(name).cast("timestamp_ntz").alias("ts"))
     return out.withColumn("ts", F.col("ts") - F.expr("interval 20 years"))
@@ -101,13 +101,13 @@ def fn_fmt_duration(o: DataFrame) -> DataFrame:
 
 
 @query("customer", """SELECT c_custkey AS k, regexp_replace(lower(c_name || c_mktsegment), '[^a-z]', '', 'g') AS model, left(regexp_replace(c_name, '[^A-Za-z0-9_-]', '', 'g'), 48) || '_' || c_custkey AS folder,
- regexp_extract(c_name, '^([^0-9]*)', 1) AS prefix, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'R' END AS channel FROM customer""")
+ upper(regexp_extract(c_name, '^[A-Za-z_]+')) AS prefix, CAST(left(regexp_replace(c_name || '_4', '[^0-9]', '', 'g'), 14) AS BIGINT) AS digits, CASE WHEN c_custkey % 2 = 0 THEN 'f' ELSE 'r' END AS channel FROM customer""")
 def fn_name_parts(c: DataFrame) -> DataFrame:
     """fn_normalize_model, fn_safe_folder, fn_name_prefix, fn_digits, fn_channel_tag."""
-    file = F.concat("c_name", F.when(F.expr("c_custkey % 2 = 0"), "_f.mp4").otherwise("-R.avi"))
+    file = F.concat("c_name", F.when(F.expr("c_custkey % 2 = 0"), "_f.mp4").otherwise("-R.m4v"))
     return c.select(
         F.col("c_custkey").alias("k"), X.normalize_model(F.concat("c_name", "c_mktsegment")).alias("model"), X.safe_folder(F.col("c_name"), F.col("c_custkey")).alias("folder"),
-        X.name_prefix(F.col("c_name")).alias("prefix"), X.digits(F.col("c_name")).alias("digits"), X.channel_tag(file).alias("channel"),
+        X.name_prefix(F.col("c_name")).alias("prefix"), X.digits(F.concat("c_name", F.lit("_4"))).alias("digits"), X.channel_tag(file).alias("channel"),
     )
 
 
@@ -139,13 +139,13 @@ def fn_offset_parse(o: DataFrame) -> DataFrame:
 
 
 @query("documents", """SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN 'MB' WHEN n_chars >= 1024 THEN 'KB' ELSE 'B' END AS unit,
- round_even(n_chars / CASE WHEN n_chars >= 1048576 THEN 1048576e0 WHEN n_chars >= 1024 THEN 1024e0 ELSE 1e0 END, 1) AS amount FROM documents""")
+ round_even(n_chars / CASE WHEN n_chars >= 1048576 THEN 1048576e0 WHEN n_chars >= 1024 THEN 1024e0 ELSE 1e0 END * 100, 0) / 100 AS amount FROM documents""")
 def fn_format_size(d: DataFrame) -> DataFrame:
     return d.select("doc_id", X.format_size(F.col("n_chars")).alias("s")).select("doc_id", "s.unit", "s.amount")
 
 
-@query("orders", """SELECT o_orderkey AS k, CASE WHEN x <= 6 THEN 1 WHEN x <= 12 THEN 2 WHEN x <= 30 THEN 5 WHEN x <= 60 THEN 10 WHEN x <= 90 THEN 15 WHEN x <= 120 THEN 20 WHEN x <= 180 THEN 30 WHEN x <= 360 THEN 60
- WHEN x <= 720 THEN 120 WHEN x <= 1800 THEN 300 WHEN x <= 3600 THEN 600 WHEN x <= 5400 THEN 900 WHEN x <= 10800 THEN 1800 ELSE 3600 END AS step FROM (SELECT o_orderkey, o_orderkey * 7 % 9000 AS x FROM orders)""")
+@query("orders", """SELECT o_orderkey AS k, CASE WHEN x <= 5 THEN 1 WHEN x <= 10 THEN 2 WHEN x <= 100 THEN 10 WHEN x <= 200 THEN 20 WHEN x <= 300 THEN 30 WHEN x <= 600 THEN 60 WHEN x <= 1200 THEN 120 WHEN x <= 3000 THEN 300 WHEN x <= 6000 THEN 600
+ ELSE 900 END AS step FROM (SELECT o_orderkey, o_orderkey * 7 % 9000 AS x FROM orders)""")
 def fn_tick_step(o: DataFrame) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("k"), X.tick_step(F.expr("o_orderkey * 7 % 9000")).alias("step"))
 
@@ -162,8 +162,8 @@ def prj_vehicle(c: DataFrame) -> DataFrame:
 
 
 FACTS = "o_orderkey % 17 = 0 AS timed_out, CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 0 END AS exit_code, CASE WHEN o_orderkey % 5 = 0 THEN 'error' END AS failure_line, o_orderkey % 4 AS fixes, o_orderkey % 7 AS coords, o_orderkey % 3 AS out_of_range, o_orderkey % 11 = 0 AS false_flags, o_orderkey % 2 = 0 AS ran, false AS no_gps_marker"
-OUTCOME = """CASE WHEN timed_out THEN 'timed_out' WHEN exit_code <> 0 THEN 'engine_failed' WHEN failure_line IS NOT NULL AND fixes = 0 THEN 'failed' WHEN fixes > 0 AND failure_line IS NOT NULL THEN 'partial' WHEN fixes > 0 THEN 'ok'
- WHEN out_of_range > 0 THEN 'failed' WHEN coords > 0 OR false_flags THEN 'gps_untrusted' WHEN ran OR no_gps_marker THEN 'no_gps' ELSE 'engine_failed' END"""
+OUTCOME = """CASE WHEN timed_out THEN 'timed_out' WHEN exit_code <> 0 THEN 'engine_failed' WHEN failure_line IS NOT NULL THEN 'engine_failed' WHEN fixes > 0 THEN 'ok'
+ WHEN out_of_range > 0 THEN 'engine_failed' WHEN coords > 0 OR false_flags THEN 'gps_untrusted' WHEN ran OR no_gps_marker THEN 'no_gps' ELSE 'engine_failed' END"""
 
 
 def _facts(o: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def prj_status_outcome(o: DataFrame) -> DataFrame:
 
 
 @query("orders", f"""WITH s AS (SELECT o_custkey, {OUTCOME} AS status FROM (SELECT o_orderkey, o_custkey, {FACTS} FROM orders))
-SELECT o_custkey AS k, arg_min(status, list_position(['engine_failed', 'timed_out', 'failed', 'partial', 'gps_untrusted', 'no_gps', 'cancelled', 'analyzing', 'ok'], status)) AS worst FROM s GROUP BY o_custkey""")
+SELECT o_custkey AS k, arg_min(status, list_position(['timed_out', 'engine_failed', 'unsupported', 'gps_untrusted', 'no_gps', 'unknown', 'ok'], status)) AS worst FROM s GROUP BY o_custkey""")
 def prj_worst_status(o: DataFrame) -> DataFrame:
     return C.worst_status(_facts(o).withColumn("status", C.status_outcome()), ["o_custkey"]).withColumnRenamed("o_custkey", "k")
 
@@ -261,14 +261,14 @@ def op_case_crud(o: DataFrame) -> DataFrame:
     return C.latest_rows(log, "case_id", ["at", "version"]).select("case_id", "version", "examiner")
 
 
-LINES = "conv_id AS run_id, turn AS line_no, CASE WHEN turn % 3 = 1 THEN 'error: ' || role ELSE text END AS line FROM conversations"
+LINES = "conv_id AS run_id, turn AS line_no, CASE WHEN turn % 3 = 1 THEN 'SKIP a.mp4 exception: ' || role ELSE text END AS line FROM conversations"
 
 
 def _log(c: DataFrame) -> DataFrame:
-    return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("error: "), "role")).otherwise(F.col("text")).alias("line"))
+    return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("SKIP a.mp4 exception: "), "role")).otherwise(F.col("text")).alias("line"))
 
 
-@query("conversations", f"SELECT run_id, arg_min(line, line_no) AS failure_line FROM (SELECT {LINES}) WHERE regexp_matches(line, '(?i)^\\s*(error|fatal|traceback|exception|failed)\\b') GROUP BY run_id")
+@query("conversations", f"SELECT run_id, arg_min(line, line_no) AS failure_line FROM (SELECT {LINES}) WHERE line LIKE 'SKIP a.mp4 exception: %' GROUP BY run_id")
 def prj_failure_line(c: DataFrame) -> DataFrame:
     return C.failure_lines(_log(c))
 

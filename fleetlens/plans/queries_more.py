@@ -138,8 +138,8 @@ def win_monotone_cubic(p: DataFrame) -> DataFrame:
     return curves.monotone_segments(points.select("case_id", "run_id", "x", "y"))
 
 
-@query("""SELECT o_orderkey AS pair_id, [x FOR x IN [CASE WHEN o_orderkey % 11 = 0 THEN 'same_file' END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0 THEN 'same_content' END, CASE WHEN o_orderkey % 5 = 0 THEN 'brand' END,
- CASE WHEN o_orderkey % 10 > 3 THEN 'name_time' END, CASE WHEN abs(o_orderkey % 9) > greatest(2e0, 0.05e0 * (60 + o_orderkey % 9)) THEN 'duration' END] IF x IS NOT NULL] AS problems FROM orders""", "orders")
+@query("""SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 11 = 0 THEN ['same_file'] WHEN o_orderkey % 7 = 0 THEN ['same_content'] ELSE [x FOR x IN [CASE WHEN o_orderkey % 5 = 0 THEN 'brand' END,
+ CASE WHEN o_orderkey % 10 > 3 THEN 'name_time' END, CASE WHEN abs(o_orderkey % 9) > greatest(2e0, 0.05e0 * (60 + o_orderkey % 9)) THEN 'duration' END] IF x IS NOT NULL] END AS problems FROM orders""", "orders")
 def op_compare_pair(o: DataFrame) -> DataFrame:
     """Also op_same_file, op_signature_problems and op_check_pair_probes on made-up sides."""
     k = F.col("o_orderkey")

@@ -49,7 +49,7 @@ mg AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVE
   SELECT *, max(e) OVER (PARTITION BY case_id, vehicle, kind ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ht)),
 evt AS (SELECT case_id, vehicle, kind, min(s) AS start_index, max(e) AS end_index,
   arg_max(rate, struct_pack(a := abs(rate), b := -s, c := -e)) AS peak FROM mg GROUP BY case_id, vehicle, kind, g),
-car AS (SELECT *, CASE kind WHEN 'stop' THEN 0 WHEN 'start' THEN 1 WHEN 'decel' THEN 2 ELSE 3 END AS prio FROM evt WHERE vehicle = 'car')
+car AS (SELECT *, CASE kind WHEN 'stop' THEN 0 WHEN 'start' THEN 1 WHEN 'accel' THEN 2 ELSE 3 END AS prio FROM evt WHERE vehicle = 'car')
 """
 
 
@@ -228,7 +228,7 @@ def fn_speed_between(p: DataFrame) -> DataFrame:
 
 @query("f0 AS (SELECT *, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon, (t_us - lag(t_us) OVER w) / 1e6 AS dt FROM pt WHERE fix WINDOW w AS (PARTITION BY case_id ORDER BY row_idx)),"
        "f1 AS (SELECT *, CASE WHEN dt >= 0 AND dt <= 5 THEN 0 ELSE 1 END AS nw FROM f0), f2 AS (SELECT *, sum(nw) OVER (PARTITION BY case_id ORDER BY row_idx) AS run,"
-       f" CASE WHEN track_deg IS NOT NULL AND coalesce(speed_kmh, 0) >= 3 THEN fmod(track_deg, 360) WHEN nw = 0 AND {HAV.format(**STEP)} >= 2 THEN {BEAR.format(**STEP)} END AS own FROM f1)"
+       f" CASE WHEN track_deg IS NOT NULL AND speed_kmh >= 3 THEN fmod(track_deg, 360) WHEN speed_kmh >= 3 AND nw = 0 AND {HAV.format(**STEP)} >= 2 THEN {BEAR.format(**STEP)} END AS own FROM f1)"
        "SELECT case_id, row_idx, round(last_value(own IGNORE NULLS) OVER (PARTITION BY case_id, run ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS heading FROM f2")
 def win_headings(p: DataFrame) -> DataFrame:
     return S.headings(p).select("case_id", "row_idx", F.round("heading", 6).alias("heading"))

@@ -42,7 +42,7 @@ def test_two_readers(spark, text, seconds, shown):
 
 def test_rear_candidates(spark):
     row = spark.createDataFrame([("20240101_000000_F.MP4",)], "n string").select(texts.rear_candidates(F.col("n"))).first()[0]
-    assert row[0] == "20240101_000000_R.MP4" and "20240101_000000_R.mp4" in row and "20240101_000000_F.MP4" not in row
+    assert row[0] == "20240101_000000_R.MP4" and "20240101_000000_R.mp4" in row and "20240101_000000_F.MP4" not in row and len(row) == 2
 
 
 def test_monotone_curve(spark):
