@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}

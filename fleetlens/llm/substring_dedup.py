@@ -392,3 +392,21 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_text: bool = False) ->
             yield out
 
     return joined.mapInPandas(run, schema)
+
+
+#: The same for DuckDB: every window by its text, in hexadecimal digits.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) AS i FROM d)),
+h AS (SELECT doc_id, i, md5_number(s) AS k FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM h) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM r),
+g2 AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+sp AS (SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH} AS b FROM g2 GROUP BY doc_id, run),
+ed AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM sp),
+ag AS (SELECT sp.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM sp GROUP BY sp.doc_id),
+kp AS (SELECT ed.doc_id, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head FROM ed JOIN d ON ed.doc_id = d.doc_id GROUP BY ed.doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN ag ON d.doc_id = ag.doc_id LEFT JOIN kp ON d.doc_id = kp.doc_id
+"""
