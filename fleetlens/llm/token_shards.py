@@ -43,7 +43,7 @@ SHARD_SLOTS = 1024
 KEY = 0x5EED_0F_0DDB_A11
 ROUNDS = 6
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 
 _double_space = re.compile(r"\s\s")
 
@@ -103,10 +103,13 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_OF_TE
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, pack = Tokenizer(shared.value), zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            ids = [(encode(t) if t else b"") + tail for t in b["text"]]
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // 2 for x in ids], "crc": [zlib.crc32(x) for x in ids], "packed": [pack(x) for x in ids]}
-            )
+            rows = []
+            for text in b["text"]:
+                ids = (encode(text) if text else b"") + tail
+                rows.append((len(ids) // 2, zlib.crc32(ids), pack(ids)))
+            out = pd.DataFrame(rows, columns=["n", "crc", "packed"])
+            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
+            yield out
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, crc long, packed binary")
 

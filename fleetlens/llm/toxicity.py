@@ -122,9 +122,18 @@ def build_model(words: pd.DataFrame, grams: pd.DataFrame, sums: dict[str, float]
         own *= (1 - most) / np.maximum(1e-9, 1 - np.minimum(back[c], 1 - 1e-9))
         log.append(np.log(own + most * prob[c][w - 1]))
     known = (u > 0) & (g_statistic(grams["d0"].to_numpy(dtype=float), grams["d1"].to_numpy(dtype=float), docs) >= gate)
-    keys, ratio = (u * size + w)[known], (log[1] - log[0])[known]
+    # Words that say nothing alone or in a pair are as good as unknown: the executors need not hold them.
+    use = np.zeros(size, dtype=bool)
+    use[u[known]] = use[w[known]] = True
+    use |= by_word != 0
+    use[0] = use[-1] = False
+    new = np.cumsum(use)
+    last = int(new[-1]) + 1
+    new[~use], new[-1] = 0, last
+    kept = {x: int(new[i]) for x, i in vocabulary.items() if use[i]}
+    keys, ratio = (new[u] * (last + 1) + new[w])[known], (log[1] - log[0])[known]
     order = np.argsort(keys)
-    return Model(vocabulary, by_word, keys[order], ratio[order])
+    return Model(kept, np.concatenate(([0.0], by_word[use], [0.0])), keys[order], ratio[order])
 
 
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
@@ -196,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MA
     chosen = rows.filter(keep)  # at most about max_docs per class, twelve bytes each
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # Copies of a text count once.
-    texts = materialize(texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h"]).drop("_h"))
+    once = texts.groupBy(F.xxhash64("text").alias("_h")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = materialize(once.drop("_h"))
     back = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(HOLD_BACK)) == 0
     all_counts = materialize(_counts(texts.filter(~back)))
     single, pairs = all_counts.filter("u is null").drop("u"), all_counts.filter("u is not null")
