@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Name of the column of row keys.
+ROW = "_row_key"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def row_keyed(df: DataFrame) -> DataFrame:
+    """The rows with a key of their own each, written once: ids may be null or repeat, and a recomputed key may differ."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

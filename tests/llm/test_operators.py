@@ -375,6 +375,31 @@ def test_similar_groups(spark, odd, empty):
     assert simhash.similar_groups(odd).count() >= odd.count() and simhash.similar_groups(empty).count() == 0
 
 
+def test_similar_groups_by_real_similarity(spark):
+    """Pairs at a similarity of exactly 0.8 are found, those at 0.756 are not."""
+    texts = [prose(i, 364, 50_000) for i in range(120)]
+
+    def changed(i, n):
+        words = texts[i].split()
+        for k in range(n):
+            words[20 + 30 * k] = f"changed{k}"
+        return " ".join(words)
+
+    out = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs_of(spark, texts + [changed(i, 8 if i < 80 else 10) for i in range(120)])).collect()}
+    assert sum(out[120 + i] == i for i in range(80)) >= 77
+    assert all(out[120 + i] == 120 + i for i in range(80, 120)) and all(out[i] == i for i in range(120))
+
+
+def test_crowded_points_give_all_pairs_between_groups(spark):
+    """A pair with strangers before and between it is compared; members of one group are not compared again."""
+    points = spark.createDataFrame([(7, n) for n in (1, 2, 3, 4, 5)] + [(8, 1), (8, 2), (8, 3), (9, 1)], "point long, node long")
+    met = simhash.met_at_points(points)
+    assert {r["point"] for r in met.collect()} == {7, 8}
+    parts = spark.createDataFrame([(1, 1), (3, 1)], "node long, root long")
+    got = {(r["other"], r["node"]) for r in simhash.crossing_pairs(met, parts).collect()}
+    assert got == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} - {(1, 3)}
+
+
 # --- 10 quality
 
 
