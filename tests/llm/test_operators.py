@@ -116,6 +116,25 @@ def test_decontamination(spark, odd, empty):
     assert kept.count() == odd.count() and kept.columns == odd.columns
 
 
+ITEM = "If a train leaves Boston at 9 and travels 60 miles each hour then how far from Boston is it after 9 hours of travel"
+
+
+def pairs_of(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontamination.find_contaminated(docs_of(spark, texts), bench).collect()}
+
+
+def test_decontamination_in_any_case_and_of_any_item(spark):
+    """Copies in other case; items of few tokens or without words enough for a window."""
+    title, upper = " ".join(w[:1].upper() + w[1:] for w in ITEM.split()), ITEM.upper()
+    items = [ITEM, "too short", "12 34 km by 56 or 78 90", "Alice Smith 1 2 3 4 5 6 7"]
+    texts = [
+        "some words before " + ITEM.lower() + " and some after", title, upper, "it is TOO short here", "too long and short", "so 12 34 km by 56 or 78 90 it is",
+        "so 12 34 km by 56 or 78 91 it is", "then ALICE smith 1 2 3 4 5 6 7.", "Alice Jones 1 2 3 4 5 6 7",
+    ]
+    assert pairs_of(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 2), (7, 3)}
+
+
 # --- 3 toxicity, 7 languages
 
 
