@@ -135,6 +135,18 @@ def test_decontamination_in_any_case_and_of_any_item(spark):
     assert pairs_of(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 2), (7, 3)}
 
 
+def test_decontamination_judges_every_alignment(spark):
+    """A contradicting frame before a copy with other values; a copy with a word more; two halves that contradict each other."""
+    names = "we hear that Smith John lives near Smith and John by the old mill and walks every morning to the harbour where Smith meets John beside boats"
+    other = ITEM.replace("Boston", "Paris").replace("60 miles", "75 km").replace(" 9", " 4")
+    contradicts = ITEM.replace("Boston at 9", "Paris at 4").replace("from Boston", "from London")
+    renamed = names.replace("Smith", "Brown").replace("John", "Peter")
+    inserted = renamed.replace("mill and walks", "mill and slowly walks")
+    swapped = inserted.replace("where Brown meets Peter", "where Peter meets Brown")
+    texts = [contradicts + " and then we say that " + other, inserted, swapped, contradicts]
+    assert pairs_of(spark, texts, [ITEM, names]) == {(0, 0), (1, 1)}
+
+
 # --- 3 toxicity, 7 languages
 
 
