@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -24,6 +25,25 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert docs.count() == docs.select("slot").distinct().count() > 0
 
 
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, tmp_path, monkeypatch):
+    item = "a question with words enough to be looked for in all the texts of a corpus"
+    words = [" ".join(f"w{i}x{k}" for k in range(80)) for i in range(6)]
+    rows = [
+        (None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (7, words[3]), (None, words[4]), (9, words[4]),
+        (None, words[5] + " grobbin"), (7, words[5] + " " + item),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda *_: None)
+    predicted = F.col("text").contains("grobbin").cast("int").alias("predicted")
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score_documents", lambda d, _: d.select("doc_id", predicted))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    assert got == sorted([(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (9, words[4])], key=str)
+
+
 def test_every_number_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
