@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Name of the column of row keys.
 ROW = "_row_key"
+#: Keys of 8 bytes that are broadcast (about 40 MB on an executor); a checkpointed side has no size that Spark could judge by.
+BROADCAST_KEYS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """Use the folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode, and none on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fleetlens-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -40,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def few_or_shuffled(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi or anti join with keys that are counted first: they are broadcast up to ``BROADCAST_KEYS``, else both sides are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
 def row_keyed(df: DataFrame) -> DataFrame:
     """The rows with a key of their own each, written once: ids may be null or repeat, and a recomputed key may differ."""
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, row_keyed
+from .common import ROW, few_or_shuffled, materialize, row_keyed
 
 WIDTH = 5
 LITERALS = 3
@@ -100,7 +100,7 @@ def _consistent(keyed: DataFrame, items: DataFrame, aligned: DataFrame, names: b
     """(row key, item, best): the largest cover of a pair by alignments whose slots are filled one way, where it is enough."""
     aligned = materialize(aligned)
     own = items.select("item", template_tokens(F.col("text"), keep=True, names=names).alias("it"))
-    texts = keyed.join(aligned.select(ROW).distinct(), ROW, "left_semi").select(ROW, template_tokens(F.col("text"), keep=True, names=names).alias("dt"))
+    texts = few_or_shuffled(keyed, aligned.select(ROW).distinct(), ROW, "left_semi").select(ROW, template_tokens(F.col("text"), keep=True, names=names).alias("dt"))
     slots = F.expr(
         f"transform(filter(array_distinct(flatten(transform(ats, a -> sequence(a, a + {width - 1})))), i -> startswith(it[i], '⟨')), "
         "i -> struct(i as at, it[i] as own, dt[i + shift] as other))"
@@ -183,4 +183,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item."""
     keyed = row_keyed(docs)
     found = materialize(contaminated_rows(keyed, benchmark).select(ROW).distinct())
-    return keyed.join(found, ROW, "left_anti").select(*docs.columns)
+    return few_or_shuffled(keyed, found, ROW, "left_anti").select(*docs.columns)

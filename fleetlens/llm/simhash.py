@@ -1,18 +1,28 @@
-"""SimHash near-duplicates through Hamming-ball tables on fingerprint segments.
-
-The fingerprint has 64 bits over repeated word shingles. It is cut into
-segments; within each segment the ball of radius 1 is enumerated, the other
-segments staying as they are, and every ball point is a key of the table. Two
-fingerprints meet at a point exactly when they differ in at most two bits: one
-flip each reaches a common point, and any two that share a point are at most
-two apart. So no candidate pair is missed. A point gathers at most 65 distinct
-fingerprints, whatever the size of a group of copies, and each member is linked
-to the smallest one at its point after its complete distance is verified: links
-grow with the number of fingerprints, never with the square of a group.
-
-Copies (equal fingerprints) are merged before the search, so a fingerprint that
-a third of all rows share is one row of it. Null and empty texts have the
-fingerprint zero and are linked like any other.
+"""SimHash near-duplicates by multi-index hashing.
+
+Two jobs share the method: a fingerprint is cut into segments, every segment has
+a table, small Hamming balls around a segment's value are enumerated and looked
+up in that table, and what is found there is verified on complete fingerprints.
+
+``near_duplicate_groups`` links 64-bit fingerprints of at most two differing
+bits. There are two segments of 32 bits: of two differences one segment holds at
+most one, so the ball of radius 1 around one fingerprint's segment holds the
+other one's segment, and no pair is missed. In a segment value that many
+different fingerprints share (a group of near copies) the other segment is
+searched the same way: there the balls of both sides meet at points whose
+fingerprints are all at most two bits apart, so each is linked to the smallest
+one, and links grow with the number of fingerprints, not with its square.
+
+``similar_rows`` links texts whose sets of word shingles are alike. That takes a
+wider fingerprint and a ball over the bits that are least certain (``similar_rows``
+says how); the real similarity of the sets decides.
+
+Copies (equal fingerprints, or equal sets) are merged before the search, so a
+text that a third of all rows share is one row of it. Null and empty texts have
+the fingerprint zero and are linked like any other in ``near_duplicate_groups``;
+``similar_rows`` leaves texts without a word alone. Ids may be null or repeat: a
+group is named by its smallest id, null where it has none. Rows that repeat each
+get their row. An empty table has no groups. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -23,15 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD_PATTERN, connected_components, materialize, row_keyed
+from .common import ROW, WORD_PATTERN, connected_components, few_or_shuffled, materialize, row_keyed, stored
 
 SHINGLE = 3
 SEED = 42
 MAX_DISTANCE = 2
-SEGMENTS = 4
+#: Bits of a segment in either job.
+SEGMENT = 32
+#: A segment value that more different fingerprints share is searched by the other segment.
+CROWD = 16
 #: Hashes unpacked to bits at a time, which bounds memory for very long texts.
 BLOCK = 1 << 16
 
@@ -39,77 +52,91 @@ _word = re.compile(WORD_PATTERN.encode().replace(rb"\x20", rb" "))
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Hashes for a further 64 bits of a fingerprint; word 0 are the hashes themselves."""
-    if not word:
-        return hashes
-    with np.errstate(over="ignore"):
-        z = hashes + np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def fingerprint_words(text: str | None, shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
-    """SimHash as ``words`` unsigned 64-bit numbers: a bit is set where over half of the shingle hashes have it."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; a text with fewer words is one shingle, one without words none."""
     data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
     parts = _word.findall(data)
     if not parts:
-        return np.zeros(words, dtype=np.uint64)
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)]
-    counts = np.zeros((words, 64), dtype=np.int64)
-    for k in range(0, len(hashes), BLOCK):
-        block = np.array(hashes[k : k + BLOCK], dtype="<u8")
-        for w in range(words):
-            bits = np.unpackbits(_mixed(block, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[w] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8").reshape(words)
+        return np.array([digest(joined, seed)], dtype="<u8")
+    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], dtype="<u8")
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of their 64 bits, or of 64 bits a column of a matrix of hashes."""
+    width = 8 * hashes.itemsize * (hashes.shape[1] if hashes.ndim > 1 else 1)
+    counts = np.zeros(width, dtype=np.int64)
+    for k in range(0, len(hashes), 255):  # so many fit the sums of one byte
+        block = np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8).reshape(-1, width // 8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return counts
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash as an unsigned number."""
-    return int(fingerprint_words(text, shingle, seed)[0])
+    """64-bit SimHash as an unsigned number: a bit is set where over half of the shingle hashes have it."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return int(np.packbits(bit_counts(hashes) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return docs.select("doc_id", run("text").alias("fp"))
+
+
+LOW = 0xFFFFFFFF
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
+def _other(segment: Column, fp: Column) -> Column:
+    """The 32 bits of a fingerprint outside a segment."""
+    return F.when(segment == 0, F.shiftrightunsigned(fp, SEGMENT)).otherwise(fp.bitwiseAND(F.lit(LOW)))
 
-def ball_points(fp: str, segments: int = SEGMENTS):
-    """The fingerprint and its neighbours at one bit, segment by segment."""
-    width = 64 // segments
-    masks = []
-    for s in range(segments):
-        masks += [(1 << (s * width + k)) for k in range(width)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    table = F.array(*[F.lit(m).cast("long") for m in [0, *signed]])
-    return F.transform(table, lambda m: F.col(fp).bitwiseXOR(m))
+
+def ball(value: Column) -> Column:
+    """A 32-bit value and its neighbours at one bit."""
+    flips = F.array(*[F.lit(m).cast("long") for m in [0, *[1 << k for k in range(SEGMENT)]]])
+    return F.transform(flips, lambda m: value.bitwiseXOR(m))
 
 
 def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b) links that connect every two fingerprints at most two bits apart."""
+    """(a, b) links that connect every two fingerprints (column fp, all different) at most two bits apart."""
     if max_distance != 2:
-        raise ValueError("balls of radius 1 decide distance 2")
-    points = distinct.select("fp", F.explode(ball_points("fp")).alias("point"))
-    at_point = Window.partitionBy("point")
-    met = points.select("fp", F.min("fp").over(at_point).alias("low"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= max_distance
-    return met.filter((F.col("fp") != F.col("low")) & near).select(F.col("fp").alias("a"), F.col("low").alias("b"))
+        raise ValueError("two segments and balls of radius 1 decide distance 2")
+    fp = F.col("fp")
+    segments = F.array(
+        F.struct(F.lit(0).alias("segment"), fp.bitwiseAND(F.lit(LOW)).alias("value")),
+        F.struct(F.lit(1).alias("segment"), F.shiftrightunsigned(fp, SEGMENT).alias("value")),
+    )
+    table = distinct.select("fp", F.explode(segments).alias("s")).select("fp", "s.segment", "s.value")
+    key = (F.shiftleft(F.col("segment").cast("long"), SEGMENT) + F.col("value")).alias("key")
+    sizes = table.select(key).groupBy("key").agg(F.count("*").alias("n"))
+    probes = table.select("fp", "segment", F.explode(ball(F.col("value"))).alias("value")).select("fp", "segment", key)
+    # Most points of a ball are nobody's value; what is left are the table's own rows and near ones.
+    hits = stored(probes.join(sizes, "key"), "simhash-hits")
+
+    entries = table.select(key, F.col("fp").alias("other"))
+    near = (F.col("fp") > F.col("other")) & (F.bit_count(fp.bitwiseXOR(F.col("other"))) <= max_distance)
+    sparse = hits.filter(F.col("n") <= CROWD).join(entries, "key").filter(near).select(fp.alias("a"), F.col("other").alias("b"))
+
+    other = _other(F.col("segment"), fp)
+    own = F.when(F.col("segment") == 0, fp.bitwiseAND(F.lit(LOW))).otherwise(F.shiftrightunsigned(fp, SEGMENT))
+    at_home = own == F.col("key").bitwiseAND(F.lit(LOW))
+    points = F.when(at_home, ball(other)).otherwise(F.array(other))
+    crowded = hits.filter(F.col("n") > CROWD).select("fp", "key", F.explode(points).alias("point"))
+    met = crowded.select("fp", F.min("fp").over(Window.partitionBy("key", "point")).alias("low"))  # at most 65 rows each
+    near_low = (fp != F.col("low")) & (F.bit_count(fp.bitwiseXOR(F.col("low"))) <= max_distance)
+    return sparse.union(met.filter(near_low).select(fp.alias("a"), F.col("low").alias("b")))
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -117,76 +144,69 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = S
     marked = materialize(fingerprints(docs, shingle, seed))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low_doc")))
     parts = connected_components(links(distinct))
-    rooted = distinct.join(parts, distinct.fp == parts.node, "left").select(
-        "fp", "low_doc", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "low_doc", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("low_doc").alias("component_id"))
     by_fp = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def hex_fingerprint(fp: str):
+def hex_fingerprint(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-# Similar rather than nearly equal fingerprints: more bits, one table per segment.
+# Texts with similar sets of shingles.
 
-#: 38 segments of 32 bits. A pair with 0.8 of its shingles in common differs in 0.151 of the bits; a segment of
-#: it differs in at most two bits in 0.12 of all cases, so that one of 38 does in 0.99.
-WIDE_WORDS = 19
-WIDE_SEGMENT = 32
-#: Of 1,216 bits: 184 differ on average at a similarity of 0.8, and this is three standard deviations more.
-WIDE_DISTANCE = 222
+#: 20 segments of 32 bits. Of two sets with 0.8 in common a segment's balls meet with 0.18 (simulated), so those of one of 20 do with 0.98.
+WIDE_WORDS = 10
+#: Least certain bits of a segment, whose 16 fillings are its ball.
+FREE = 4
+#: Of 640 bits: 97 differ on average at a similarity of 0.8, and this is over three standard deviations more.
+WIDE_DISTANCE = 126
 SIMILARITY = 0.8
-#: Tables that are dealt out at a time, which bounds the shuffle's disk.
-TABLES_AT_ONCE = 10
-#: Up to so many fingerprints at a point, the first and the predecessor make all pairs.
-CROWDED = 3
+WIDE_SHINGLE = 5
+#: Up to so many at a point are all compared with each other.
+EVERY_PAIR = 8
+#: Most central texts of a larger point.
+HEADS = 3
 
 
-def shingle_set(text: str | None, shingle: int = 5, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a text with fewer words is one shingle."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    parts = _word.findall(data)
-    if not parts:
-        return np.zeros(0, dtype="<u8")
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(parts)
-    if len(parts) <= shingle:
-        return np.array([digest(joined, seed)], dtype="<u8")
-    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], dtype="<u8"))
+def _words_of(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
+    """``words`` columns of 64 bits for each hash."""
+    with np.errstate(over="ignore"):
+        z = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
-    """SimHash of a set of hashes as ``words`` numbers: a bit is set where over half of the hashes have it."""
-    counts = np.zeros(64 * words, dtype=np.int64)
-    for k in range(0, len(hashes), 255):  # so many fit the sums of one byte
-        block = np.stack([_mixed(hashes[k : k + 255], w) for w in range(words)], axis=1)
-        counts += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(shingle_hashes(text, shingle, seed))
 
 
-def met_at_points(points: DataFrame) -> DataFrame:
-    """(point, node, first, before, n) of the rows of (point, node) that are not alone at their point."""
-    ordered = Window.partitionBy("point").orderBy("node")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = points.select(
-        "point", "node", F.first("node").over(ordered).alias("first"), F.lag("node").over(ordered).alias("before"), F.count("*").over(whole).alias("n")
-    )
-    return met.filter("n > 1")
+def wide_fingerprints(sets: list[np.ndarray], words: int = WIDE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of sets of hashes, and as many masks: the bits of each 32-bit segment whose votes were closest."""
+    votes = np.empty((len(sets), 64 * words), dtype=np.int64)
+    for i, s in enumerate(sets):
+        votes[i] = sum((bit_counts(_words_of(s[k : k + BLOCK], words)) for k in range(0, len(s), BLOCK)), np.zeros(64 * words, np.int64)) * 2 - len(s)
+    fps = np.packbits(votes > 0, axis=1, bitorder="little").view("<u8")
+    order = np.argsort(np.abs(votes).reshape(len(sets), -1, SEGMENT), axis=2, kind="stable")[:, :, :FREE]
+    masks = np.bitwise_or.reduce(np.uint32(1) << order.astype(np.uint32), axis=2)
+    return fps, masks.astype("<u4").view("<u8").reshape(len(sets), words)
 
 
-def crossing_pairs(met: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, other), node > other: all pairs at crowded points that ``parts`` (node, root) has not yet brought together."""
-    rows = met.filter(F.col("n") > CROWDED).select("point", "node").join(parts, "node", "left")
-    rows = rows.select("point", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rows.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("point")
-    rows = materialize(rows.join(mixed, "point", "left_semi"))
-    other = rows.select("point", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    return rows.join(other, "point").filter("node > other and root <> other_root").select("node", "other").distinct()
+def ball_points(fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Points of every segment's table at which a fingerprint stands: all fillings of the segment's free bits."""
+    n = len(fps)
+    values, free = (x.view("<u4").reshape(n, -1).astype(np.uint64) for x in (fps, masks))
+    tables = (np.arange(values.shape[1], dtype=np.uint64) << np.uint64(SEGMENT))[None, :]
+    points = [values & ~free | tables]
+    rest = free.copy()
+    for _ in range(FREE):
+        lowest = rest & (~rest + np.uint64(1))
+        points += [p | lowest for p in points]
+        rest ^= lowest
+    return np.stack(points, axis=2).reshape(n, -1)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -197,76 +217,122 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return found.join(low, "group").select("doc_id", "component_id")
 
 
-def similar_rows(keyed: DataFrame, shingle: int = 5, seed: int = SEED, max_distance: int = WIDE_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+def _matrix(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<u8").reshape(len(column), width) if len(column) else np.zeros((0, width), "<u8")
+
+
+def similar_rows(
+    keyed: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED, max_distance: int = WIDE_DISTANCE, similarity: float = SIMILARITY
+) -> DataFrame:
     """(row key, group) for texts linked by pairs that share ``similarity`` of their distinct word shingles or more.
 
     ``keyed`` has row keys (``row_keyed``); a group is named by its smallest one.
-    Multi-index hashing: each segment of the wide fingerprint has its table, and
-    every fingerprint stands in it at all points of the ball of radius 1 around
-    its segment, so two of them meet wherever a segment differs in at most two
-    bits. In 2^32 keys a table of 12 million documents (30 GB) has 0.1 strangers
-    per point. At a point a fingerprint is compared with the first one there and
-    with its predecessor, which are all pairs where up to three meet; where more
-    meet, all pairs follow that the links so far have not joined. So a group of
-    near copies gives as many comparisons as it has members, and no pair that
-    meets stays uncompared unless it is in one group already. Of pairs within
-    the bit limit the real similarity decides. Equal sets are merged before.
+    Rows without a word are groups of their own.
+
+    Multi-index hashing over 20 segments of a 640-bit fingerprint. A bit of a
+    SimHash is a majority, and similar sets differ mostly where the votes were
+    close. So the ball around a segment is not all neighbours at some distance
+    but the 16 fillings of its four closest bits, and both sides stand in the
+    table at all points of their balls. A point is 32 bits long and has its
+    table's number: at 12 million texts (30 GB) 0.05 strangers stand at one.
+
+    At a point up to ``EVERY_PAIR`` texts are all compared. Where more meet,
+    which is a group of near copies, every text is compared with the ``HEADS`` most
+    central ones at each of its points (those that meet most others over all tables)
+    and with its predecessor in that order; what this leaves outside the group of
+    the most central one is compared the same way among itself. So comparisons
+    grow with the texts and not with the square of a group. The complete
+    fingerprints are verified first, then the sets themselves.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t, shingle, seed) for t in b["text"]]
-            fps = [wide_fingerprint(s).view(np.int64).tolist() for s in sets]
-            yield pd.DataFrame({ROW: b[ROW], "fp": fps, "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
-
-    marked = materialize(keyed.select(ROW, "text").mapInPandas(run, f"{ROW} long, fp array<long>, same binary"))
-    distinct = materialize(marked.groupBy("same").agg(F.min(ROW).alias("node"), F.first("fp").alias("fp")))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(WIDE_SEGMENT)])
-    met = None
-    for first in range(0, 2 * WIDE_WORDS, TABLES_AT_ONCE):
-        last = min(first + TABLES_AT_ONCE, 2 * WIDE_WORDS) - 1
-        slot = F.expr(f"transform(sequence({first}, {last}), t -> shiftleft(cast(t as bigint), 32) + (shiftright(fp[t div 2], 32 * (t % 2)) & 4294967295L))")
-        slots = distinct.select("node", F.explode(slot).alias("slot"))
-        some = materialize(met_at_points(slots.select("node", F.explode(F.transform(flips, lambda m: F.col("slot").bitwiseXOR(m))).alias("point"))))
-        met = some if met is None else met.union(some)
-        keyed.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of these tables
-
-    fps = distinct.select("node", "fp")
-    bits = F.expr(" + ".join(f"bit_count(fp[{i}] ^ other_fp[{i}])" for i in range(WIDE_WORDS)))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(fps, "node").join(fps.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")), "other")
-        return materialize(both.filter(bits <= max_distance).select("node", "other"))
+    @F.pandas_udf("same binary, fp binary, free binary")
+    def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_set(t, shingle, seed) for t in texts]
+            fps, masks = wide_fingerprints(sets)
+            same = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pd.DataFrame({"same": same, "fp": [x.tobytes() for x in fps], "free": [x.tobytes() for x in masks]})
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    marked = stored(keyed.select(ROW, mark("text").alias("m")).select(ROW, "m.*"), "marked")
+    worded = marked.filter("same is not null")
+    distinct = stored(worded.groupBy("same").agg(F.min(ROW).alias("node"), F.first("fp").alias("fp"), F.first("free").alias("free")), "distinct")
+
+    def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = []
-            for x, y in zip(b["text"], b["other_text"], strict=True):
-                x, y = shingle_set(x, shingle, seed), shingle_set(y, shingle, seed)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield b.loc[keep, ["a", "b"]]
-
-    texts = keyed.select(F.col(ROW).alias("node"), "text")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("other_text")), "other")
-        return materialize(both.select(F.col("node").alias("a"), F.col("other").alias("b"), "text", "other_text").mapInPandas(compare, "a long, b long"))
-
-    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different groups so far."""
-        both = pairs.join(parts, "node", "left").join(parts.select(F.col("node").alias("other"), F.col("root").alias("other_root")), "other", "left")
-        return both.filter("coalesce(root, node) <> coalesce(other_root, other)").select("node", "other")
-
-    candidates = close(met.filter("node <> first").select("node", F.explode(F.array("first", "before")).alias("other")).distinct())
-    # One link of each node first: it settles groups of near copies, so that few pairs' texts are fetched.
-    tried = candidates.groupBy("node").agg(F.min("other").alias("other"))
-    found = alike(tried)
-    parts = connected_components(found)
-    found = found.union(alike(apart(candidates.join(tried, ["node", "other"], "left_anti"), parts)))
+            for k in range(0, len(b), 500):
+                part = b.iloc[k : k + 500]
+                points = ball_points(_matrix(part["fp"], WIDE_WORDS), _matrix(part["free"], WIDE_WORDS))
+                yield pd.DataFrame({"point": points.ravel().view(np.int64), "node": np.repeat(part["node"].to_numpy(), points.shape[1])})
+
+    points = distinct.select("node", "fp", "free").mapInPandas(stand, "point long, node long")
+    met = points.select("point", "node", F.count("*").over(Window.partitionBy("point")).alias("n")).filter("n > 1")
+    met = stored(met, "met")
+    central = met.groupBy("node").agg(F.sum("n").alias("crowd"))
+    ordered = Window.partitionBy("point").orderBy(F.desc("crowd"), "node")
+    near = F.collect_list("node").over(ordered.rowsBetween(1 - EVERY_PAIR, -1))
+    heads = [F.nth_value("node", k).over(ordered) for k in range(1, HEADS + 1)]
+    ranked = met.join(central, "node").select("node", "n", near.alias("near"), F.array(*heads, F.lag("node").over(ordered)).alias("heads"))
+    others = F.when(F.col("n") <= EVERY_PAIR, F.col("near")).otherwise(F.array_compact("heads"))
+    candidates = _pairs(ranked.select("node", F.explode(F.array_distinct(others)).alias("other")))
+
+    sets = _Sets(keyed, distinct, shingle, seed, max_distance, similarity)
+    found = sets.alike(candidates)
     parts = connected_components(found)
-    crossing = close(crossing_pairs(met, parts).join(candidates, ["node", "other"], "left_anti"))
-    if crossing.limit(1).count():
-        parts = connected_components(found.union(alike(crossing)))
+    # What crowded points still hold outside the group of their most central text is compared with the most central of the rest.
+    rooted = met.filter(F.col("n") > EVERY_PAIR).join(parts, "node", "left").join(central, "node")
+    rooted = rooted.select("point", "node", "crowd", F.coalesce("root", "node").alias("root"))
+    rest = rooted.withColumn("main", F.first("root").over(ordered)).filter("root <> main").drop("main")
+    rest = rest.select("node", F.array(F.first("node").over(ordered), F.lag("node").over(ordered)).alias("heads"))
+    rest = _pairs(rest.select("node", F.explode(F.array_compact("heads")).alias("other")))
+    more = sets.alike(rest.join(candidates, ["node", "other"], "left_anti"))
+    if more.limit(1).count():
+        parts = connected_components(found.union(more))
     named = distinct.join(parts, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
-    return marked.join(named, "same").select(ROW, "group")
+    grouped = worded.select(ROW, "same").join(named, "same").select(ROW, "group")
+    return grouped.union(marked.filter("same is null").select(ROW, F.col(ROW).alias("group")))
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of different nodes, each once, the larger one first."""
+    pairs = pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
+    return materialize(pairs.filter("node <> other").distinct())
+
+
+class _Sets:
+    """Verifies pairs on complete fingerprints, then on the sets of the texts that are still in question."""
+
+    def __init__(self, keyed: DataFrame, distinct: DataFrame, shingle: int, seed: int, max_distance: int, similarity: float):
+        self.keyed, self.distinct = keyed, distinct
+        self.shingle, self.seed, self.max_distance, self.similarity = shingle, seed, max_distance, similarity
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): pairs of (node, other) whose sets share enough."""
+        most, least, shingle, seed = self.max_distance, self.similarity, self.shingle, self.seed
+        fps = self.distinct.select("node", "fp")
+
+        @F.pandas_udf("boolean")
+        def close(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series(np.bitwise_count(_matrix(x, WIDE_WORDS) ^ _matrix(y, WIDE_WORDS)).sum(axis=1) <= most)
+
+        both = pairs.join(fps, "node").join(fps.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")), "other")
+        near = materialize(both.filter(close("fp", "other_fp")).select("node", "other"))
+        asked = near.select("node").union(near.select("other")).distinct()
+
+        @F.pandas_udf("binary")
+        def as_set(texts: pd.Series) -> pd.Series:
+            return pd.Series([shingle_set(t, shingle, seed).tobytes() for t in texts])
+
+        texts = few_or_shuffled(self.keyed.select(F.col(ROW).alias("node"), "text"), asked, "node", "left_semi")
+        sets = stored(texts.select("node", as_set("text").alias("own")), "sets")
+
+        @F.pandas_udf("boolean")
+        def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+            out = []
+            for a, b in zip(x, y, strict=True):
+                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                common = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
+                out.append(common >= least * (len(a) + len(b) - common))
+            return pd.Series(out, dtype=bool)
+
+        both = near.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("own").alias("other_own")), "other")
+        return materialize(both.filter(similar("own", "other_own")).select(F.col("node").alias("a"), F.col("other").alias("b")))

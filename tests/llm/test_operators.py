@@ -384,13 +384,30 @@ def test_near_fingerprints_are_linked(spark):
     for _ in range(30):
         base = r.getrandbits(64)
         fps += [base, *(base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(4))]
+    # Segment values that many different fingerprints share, in either half.
+    for half in (0, 32):
+        shared, rest = r.getrandbits(32), r.getrandbits(32)
+        for _ in range(60):
+            other = rest
+            for _ in range(r.randrange(6)):
+                other ^= 1 << r.randrange(32)
+            fps.append((shared ^ (1 << r.randrange(32) if r.random() < 0.3 else 0)) << half | other << (32 - half))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     linked = simhash.links(spark.createDataFrame([(x,) for x in set(signed)], "fp long"))
     roots = {x["node"]: x["root"] for x in connected_components(linked).collect()}
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
     for i, a in enumerate(fps):
         for j, b in enumerate(fps[:i]):
             if 0 < (a ^ b).bit_count() <= 2:
                 assert roots[signed[i]] == roots[signed[j]]
+                parent[find(a)] = find(b)
+    assert len(set(roots.values())) == len({find(f) for f in fps if (f - (1 << 64) if f >> 63 else f) in roots})
 
 
 def test_similar_groups(spark, odd, empty):
@@ -421,14 +438,40 @@ def test_similar_groups_by_real_similarity(spark):
     assert all(out[120 + i] == 120 + i for i in range(80, 120)) and all(out[i] == i for i in range(120))
 
 
-def test_crowded_points_give_all_pairs_between_groups(spark):
-    """A pair with strangers before and between it is compared; members of one group are not compared again."""
-    points = spark.createDataFrame([(7, n) for n in (1, 2, 3, 4, 5)] + [(8, 1), (8, 2), (8, 3), (9, 1)], "point long, node long")
-    met = simhash.met_at_points(points)
-    assert {r["point"] for r in met.collect()} == {7, 8}
-    parts = spark.createDataFrame([(1, 1), (3, 1)], "node long, root long")
-    got = {(r["other"], r["node"]) for r in simhash.crossing_pairs(met, parts).collect()}
-    assert got == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} - {(1, 3)}
+def test_group_of_near_copies_against_all_pairs(spark):
+    """More near copies than are compared with each other at a point, some too far from the rest, and a second group next to them."""
+    r = random.Random(12)
+    bases = [prose(1, 220, 50_000), prose(2, 220, 50_000)]
+    texts = []
+    for i in range(160):
+        words = bases[i % 2].split()
+        for k in range(r.choice((1, 1, 2, 3, 4, 6, 9))):
+            words[r.randrange(220)] = f"new{i}x{k}"
+        texts.append(" ".join(words))
+    sets = [simhash.shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = []
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                pairs.append((i, j))
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    out = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs_of(spark, texts)).collect()}
+    assert sum(out[i] == out[j] for i, j in pairs) >= 0.99 * len(pairs) > 1000
+    assert all(find(i) == find(out[i]) for i in range(len(texts)))
+
+
+def test_texts_without_words_stay_apart(spark):
+    out = simhash.similar_groups(docs_of(spark, [None, "", " \n ", "one", "one", None])).collect()
+    assert {x["doc_id"]: x["component_id"] for x in out} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
 
 
 # --- 10 quality
