@@ -1,21 +1,26 @@
 """Token ids in training order: packed sequences, a keyed permutation, fixed-stride shards.
 
 1. Every text is tokenised once (byte-level BPE ranks of a public vocabulary,
-   whose path is a parameter) and ends with an end-of-text id. The ids, two
-   little-endian bytes each, are kept in a table in the shared folder.
-2. Running sums over (doc_id, ...) give each document its place in one long
-   stream, which is cut into sequences of ``seq_len`` ids; the last one is
-   filled up with end-of-text ids.
+   whose path is a parameter) and ends with an end-of-text id. Within an input
+   partition texts follow each other and are cut into sequences of ``seq_len``
+   ids; a partition's last one is filled up with end-of-text ids. Sequences are
+   kept, two little-endian bytes an id and compressed, in a table in the shared folder, so what
+   follows is settled whatever partitions a rerun would see.
+2. The partitions' counts (one row each) number all sequences.
 3. A Feistel network over the next even number of bits, keyed and walked until
    it falls below the number of sequences, sends sequence i to global slot p(i):
    a permutation that needs no table and no sort key.
-4. Rows go to range partitions of slots; each holds whole shards of
+4. Sequences go to range partitions of slots; each holds whole shards of
    ``shard_slots`` slots, and slot s is row s % shard_slots of shard
-   s // shard_slots. ``write_shards`` writes each shard as one file of records
-   of equal size, so that any step of training seeks to its record.
+   s // shard_slots. On the way those for one partition travel together, compressed.
+5. ``write_shards`` writes each shard as one file of records of equal size, so
+   that any step of training seeks to its record (``read_records``), and leaves
+   out the shards that are complete already.
 
 Null and empty texts contribute their end-of-text id alone. An empty table has
-no sequences. Equal rows are tokenised and placed each on its own.
+no sequences. Equal rows are tokenised and placed each on its own, long texts
+run over as many sequences as they need, ids may be null or repeat. Only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -23,16 +28,16 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, with_running_sums
+from .common import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits a text before merging.
@@ -42,31 +47,41 @@ SEQ_LEN = 1024
 SHARD_SLOTS = 1024
 KEY = 0x5EED_0F_0DDB_A11
 ROUNDS = 6
-#: Words whose ids a worker remembers.
-REMEMBERED = 80_000
+#: Words whose ids a worker remembers, twice.
+REMEMBERED = 150_000
+#: Bytes of ids that are compressed together in the table, and that are dealt out to partitions at a time.
+CHUNK = 1 << 20
+DEALT = 1 << 24
+LEVEL = 5
 
 _double_space = re.compile(r"\s\s")
 
 
 class _Remembered(dict):
-    """Values of a function by word, forgotten all at once when there are too many."""
+    """Values of a function by word; when there are too many the older half is forgotten."""
 
     def __init__(self, of):
         super().__init__()
-        self.of = of
+        self.of, self.older = of, {}
 
     def __missing__(self, word: str) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            value = self.of(word)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[word] = value = self.of(word)
+        self[word] = value
         return value
 
 
 class Tokenizer:
-    """Ids of a text as little-endian bytes; words between single spaces are remembered.
+    """Ids of a text as little-endian bytes; words between single white-space characters are remembered.
 
     A single space before a non-space always starts a new piece of the split
-    pattern, so words can be encoded one by one; texts with two white-space
+    pattern, and a single line break is a piece of its own, so words can be
+    encoded one by one. A word of letters is one piece, which needs no pattern; a
+    full stop or comma after it is another one. Texts with two white-space
     characters in a row are encoded whole.
     """
 
@@ -74,44 +89,28 @@ class Tokenizer:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first = _Remembered(self.ids)
-        self.later = _Remembered(lambda word: self.ids(" " + word))
+        encoding = tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.encode_piece = encoding.encode_ordinary, encoding._encode_single_piece
+        self.words = _Remembered(self.word)
 
     def ids(self, text: str) -> bytes:
-        out = array("H", self.encode(text))
-        if out.itemsize != 2:
-            raise TypeError("two-byte ids expected")
-        return out.tobytes()
+        return np.array(self.encode(text), dtype="<u2").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word after a space, or after a line break if it begins with one."""
+        if word.startswith("\n"):
+            return self.ids("\n") + self.ids(word[1:])
+        if word.isalpha():
+            return np.array(self.encode_piece(" " + word), dtype="<u2").tobytes()
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.ids(word[-1])
+        return self.ids(" " + word)
 
     def __call__(self, text: str) -> bytes:
         if _double_space.search(text):
             return self.ids(text)
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
-
-
-def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END_OF_TEXT) -> DataFrame:
-    """(doc_id, n, crc, packed) per row; the vocabulary file (under 1 MB) is broadcast from the driver.
-
-    Ids travel compressed (zstd) until they are put together.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(open(vocabulary, "rb").read())
-    tail = array("H", [end]).tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, pack = Tokenizer(shared.value), zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                ids = (encode(text) if text else b"") + tail
-                rows.append((len(ids) // 2, zlib.crc32(ids), pack(ids)))
-            out = pd.DataFrame(rows, columns=["n", "crc", "packed"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, crc long, packed binary")
+        head, *rest = text.replace("\n", " \n").split(" ")
+        return self.ids(head) + b"".join(map(self.words.__getitem__, rest))
 
 
 def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -135,85 +134,224 @@ def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS)
     return x.astype(np.int64)
 
 
-def training_order(
-    docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY, end: int = END_OF_TEXT
-) -> DataFrame:
-    """One row per sequence: slot, shard, row, seq, doc_ids, n_tokens (without filling), crc32 and ids (binary)."""
-    spark = docs.sparkSession
-    kept = stored(tokenize(docs, vocabulary, end).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    narrow = kept.select("doc_id", "n", "crc", "uid")
-    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    size = -(-total // seq_len)
-    placed = with_running_sums(narrow, ["doc_id", "n", "crc", "uid"], {"start": F.col("n")}).select("uid", "start")
-    joined = kept.select("uid", "doc_id", "n", "packed").join(placed, "uid")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            start, n = b["start"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
-            first, last = start // seq_len, (start + n - 1) // seq_len
-            count = last - first + 1
-            row = np.repeat(np.arange(len(b)), count)
-            seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            a = np.maximum(seq * seq_len, start[row])
-            z = np.minimum((seq + 1) * seq_len, (start + n)[row])
-            ids = [unpack(x) for x in b["packed"]]
-            offset = start[row]
-            pieces = [pack(ids[r][2 * i : 2 * j]) for r, i, j in zip(row.tolist(), (a - offset).tolist(), (z - offset).tolist(), strict=True)]
-            doc = b["doc_id"].astype("Int64").to_numpy()[row]
-            yield pd.DataFrame({"slot": permute(seq, size, key), "seq": seq, "pos": a % seq_len, "doc_id": pd.array(doc, dtype="Int64"), "packed": pieces})
-
-    pieces = joined.mapInPandas(cut, "slot long, seq long, pos long, doc_id long, packed binary")
-    shards = max(1, -(-size // shard_slots))
-    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
-    shard = F.floor(F.col("slot") / shard_slots).cast("long")
-    # Range partitions by formula: a run of whole shards each, without sampling the rows first.
-    target = F.floor(shard * parts / shards).cast("int")
-    ranged = pieces.repartitionById(parts, target).sortWithinPartitions("slot", "pos")
-    fill = array("H", [end]).tobytes()
-
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        slot, seq, docs_in, ids = -1, -1, [], []
-
-        def record() -> tuple:
-            data = b"".join(ids)
-            full = data + fill * (seq_len - len(data) // 2)
-            return slot, slot // shard_slots, slot % shard_slots, seq, docs_in, len(data) // 2, zlib.crc32(full), full
-
-        names = ["slot", "shard", "row", "seq", "doc_ids", "n_tokens", "ids_crc32", "ids"]
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, end: int = END_OF_TEXT) -> DataFrame:
+    """(part, first, lengths, doc_ids, packed): runs of sequences of an input partition, numbered from ``first`` on.
+
+    lengths are ids without filling, doc_ids the documents in each sequence. The
+    vocabulary file (under 1 MB) is broadcast from the driver.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
+    width = 2 * seq_len
+    tail = np.array([end], dtype="<u2").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, compress = Tokenizer(shared.value), zstandard.ZstdCompressor(level=LEVEL).compress
+        part, first = TaskContext.get().partitionId(), 0
+        ids, marks = bytearray(), []  # marks: document, and where it begins and ends in ids
+
+        def rows(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal first, ids, marks
+            most = -(-len(ids) // width) if whole else len(ids) // width
+            per = max(1, CHUNK // width)
+            owners: list[list] = [[] for _ in range(most)]
+            for doc, a, z in marks:
+                for k in range(a // width, min(most, -(-z // width))):
+                    owners[k].append(doc)
+            for k in range(0, most, per):
+                n = min(per, most - k)
+                data = bytes(ids[k * width : (k + n) * width])
+                lengths = [min(seq_len, (len(data) - i * width) // 2) for i in range(n)]
+                data += tail * ((n * width - len(data)) // 2)
+                columns = [[part], [first], [lengths], [owners[k : k + n]], [compress(data)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                first += n
+            ids = ids[most * width :]
+            marks = [(doc, max(0, a - most * width), z - most * width) for doc, a, z in marks if z > most * width]
+
         for b in batches:
-            done = []
-            for s, q, d, x in zip(b["slot"].tolist(), b["seq"].tolist(), b["doc_id"].astype(object).tolist(), b["packed"].tolist(), strict=True):
-                if s != slot:
-                    if slot >= 0:
-                        done.append(record())
-                    slot, seq, docs_in, ids = s, q, [], []
-                docs_in.append(None if pd.isna(d) else int(d))
-                ids.append(unpack(x))
-            for k in range(0, len(done), 2048):
-                yield pd.DataFrame(done[k : k + 2048], columns=names)
-        if slot >= 0:
-            yield pd.DataFrame([record()], columns=names)
-
-    return ranged.mapInPandas(
-        put_together, "slot long, shard long, row long, seq long, doc_ids array<long>, n_tokens long, ids_crc32 long, ids binary"
-    )
-
-
-def write_shards(sequences: DataFrame, path: str) -> None:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                begin = len(ids)
+                if text:
+                    ids += encode(text)
+                ids += tail
+                marks.append((doc, begin, len(ids)))
+                if len(ids) >= CHUNK:
+                    yield from rows(False)
+        if ids:
+            yield from rows(True)
+
+    names = ["part", "first", "lengths", "doc_ids", "packed"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.binary()]
+    return docs.select("doc_id", "text").mapInArrow(run, "part long, first long, lengths array<int>, doc_ids array<array<long>>, packed binary")
+
+
+class TrainingOrder:
+    """All sequences of ``docs``, tokenised once, and the slot of each."""
+
+    def __init__(
+        self, docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = KEY, end: int = END_OF_TEXT
+    ):
+        self.spark, self.seq_len, self.shard_slots, self.key = docs.sparkSession, seq_len, shard_slots, key
+        self.packed = stored(pack(docs, vocabulary, seq_len, end), "tokens")
+        # One row of 16 bytes for each input partition.
+        counts = sorted(self.packed.groupBy("part").agg(F.sum(F.size("lengths")).alias("n")).collect())
+        self.size = sum(r["n"] for r in counts)
+        ends = np.cumsum([0, *(r["n"] for r in counts)])
+        self.offsets = dict(zip((r["part"] for r in counts), ends.tolist(), strict=False))
+        self.shards = -(-self.size // shard_slots)
+
+    def index(self) -> DataFrame:
+        """(slot, shard, row, seq, doc_ids, n_tokens) of every sequence, without its ids."""
+        offsets, size, key, per = self.offsets, self.size, self.key, self.shard_slots
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part, first, lengths, owners in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                    seq = offsets[part] + first + np.arange(len(lengths))
+                    slot = permute(seq, size, key)
+                    columns = [slot, slot // per, slot % per, seq]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(c, pa.int64()) for c in columns), pa.array(owners, pa.list_(pa.int64())), pa.array(lengths, pa.int64())],
+                        ["slot", "shard", "row", "seq", "doc_ids", "n_tokens"],
+                    )
+
+        narrow = self.packed.select("part", "first", "lengths", "doc_ids")
+        return narrow.mapInArrow(run, "slot long, shard long, row long, seq long, doc_ids array<long>, n_tokens long")
+
+    def sequences(self) -> DataFrame:
+        """(shard, row, ids): shards whole in range partitions of slots, in order."""
+        offsets, size, key, per, width = self.offsets, self.size, self.key, self.shard_slots, 2 * self.seq_len
+        shards = max(1, self.shards)
+        parts = max(1, min(shards, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            compress, unpack = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
+            slots, records, held = [], [], 0
+
+            def dealt() -> pa.RecordBatch:
+                slot, ids = np.concatenate(slots), np.concatenate(records)
+                order = np.argsort(slot, kind="stable")
+                slot = slot[order]
+                target = slot // per * parts // shards
+                cuts = np.flatnonzero(np.diff(target, prepend=-1))
+                groups = [(int(target[a]), order[a:z], slot[a:z]) for a, z in zip(cuts, [*cuts[1:], len(slot)], strict=True)]
+                return pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([t for t, _, _ in groups], pa.int32()), pa.array([s.tolist() for _, _, s in groups], pa.list_(pa.int64())),
+                        pa.array([compress(ids[o].tobytes()) for _, o, _ in groups], pa.binary()),
+                    ],
+                    ["target", "slots", "packed"],
+                )
+
+            for b in batches:
+                for part, first, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    ids = np.frombuffer(unpack(data), np.uint8).reshape(-1, width)
+                    slots.append(permute(offsets[part] + first + np.arange(len(ids)), size, key))
+                    records.append(ids)
+                    held += ids.nbytes
+                    if held >= DEALT:
+                        yield dealt()
+                        slots, records, held = [], [], 0
+            if slots:
+                yield dealt()
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor().decompress
+            for b in batches:
+                for slots, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    slot = np.array(slots)
+                    ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(slot), [None, pa.py_buffer(unpack(data.as_py()))])
+                    yield pa.RecordBatch.from_arrays([pa.array(slot // per), pa.array(slot % per), ids.cast(pa.binary())], ["shard", "row", "ids"])
+
+        pieces = self.packed.select("part", "first", "packed").mapInArrow(deal, "target int, slots array<long>, packed binary")
+        # Range partitions by formula: a run of whole shards each, without sampling the rows first.
+        ranged = pieces.repartitionById(parts, F.col("target")).select("slots", "packed")
+        return ranged.mapInArrow(unpacked, "shard long, row long, ids binary").sortWithinPartitions("shard", "row")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def finished_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(shard) of those that are written. Files are listed, not read."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "shard long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.regexp_extract("path", r"/shard=([0-9]+)/", 1).cast("long").alias("shard")).distinct()
+
+
+def write_shards(sequences: DataFrame, path: str, placed: bool = False) -> None:
     """One file per shard under ``path/shard=N``: records of 2 * seq_len + 1 bytes, the last one a line feed.
 
-    Written by Spark's text writer, so it works on any store and only whole
-    files of successful tasks appear; a partial run is resumed shard by shard.
+    Written by Spark's text writer, so it works on any store. Its committer moves
+    whole files of finished tasks into place, so a shard that is there is
+    complete; a call that follows one that was broken off writes the others.
+    ``placed``: every shard is in one partition already, as ``TrainingOrder.sequences`` has it.
     """
+    spark = sequences.sparkSession
+    done = finished_shards(spark, path)
+    # A row of 8 bytes for each shard file of a folder, which its store can list at once.
+    sequences = sequences.join(F.broadcast(done), "shard", "left_anti") if done.limit(1).count() else sequences
+    sequences = sequences if placed else sequences.repartition("shard")
     rows = sequences.sortWithinPartitions("shard", "row").select(F.col("ids").cast("string").alias("value"), "shard")
-    rows.write.partitionBy("shard").text(path)
+    rows.write.mode("append").partitionBy("shard").text(path)
+
+
+def read_shards(spark: SparkSession, path: str, seq_len: int = SEQ_LEN) -> DataFrame:
+    """(shard, row, ids) of all records."""
+    stride = 2 * seq_len + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)
+                ids = pa.array([r[:-1].tobytes() for r in data], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(data), pa.int64()), pa.array(range(len(data)), pa.int64()), ids], ["shard", "row", "ids"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.col("shard").cast("long"), "content").mapInArrow(run, "shard long, row long, ids binary")
 
 
 def read_shard(spark: SparkSession, path: str, shard: int, seq_len: int = SEQ_LEN, first_row: int = 0) -> DataFrame:
-    """(row, ids) of one shard from ``first_row`` on."""
+    """(row, ids) of one shard from ``first_row`` on; none past its end."""
+    found = read_shards(spark, path, seq_len).filter((F.col("shard") == shard) & (F.col("row") >= first_row))
+    return found.select("row", "ids")
+
+
+def read_records(spark: SparkSession, path: str, slot: int, n: int, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS) -> list[bytes]:
+    """Up to n records of one shard from a slot on, for a training process: it opens the file at their place and reads no others."""
+    shard, row = divmod(slot, shard_slots)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    file = next(s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
     stride = 2 * seq_len + 1
-    content = spark.read.format("binaryFile").load(f"{path}/shard={shard}")
-    rows = content.select(F.explode(F.expr(f"sequence({first_row}L, length div {stride} - 1)")).alias("row"), "content")
-    return rows.select("row", F.expr(f"substring(content, cast(row * {stride} + 1 as int), {stride - 1})").alias("ids"))
+    if row * stride >= file.getLen():
+        return []
+    with_seek = fs.open(file.getPath())
+    try:
+        with_seek.seek(row * stride)
+        data = bytes(with_seek.readNBytes(n * stride))
+    finally:
+        with_seek.close()
+    return [data[k : k + stride - 1] for k in range(0, len(data), stride)]
+
+
+def training_order(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Write the shards of ``docs`` under ``path``; one row per record as written: slot, shard, row, seq, doc_ids, n_tokens (without filling), ids_crc32."""
+    order = TrainingOrder(docs, **options)
+    if order.size:
+        write_shards(order.sequences(), path, placed=True)
+
+    @F.pandas_udf("long")
+    def crc(ids):
+        return ids.map(zlib.crc32)
+
+    if not order.size:
+        return order.index().withColumn("ids_crc32", F.lit(0).cast("long"))
+    written = read_shards(docs.sparkSession, path, order.seq_len)
+    written = written.select((F.col("shard") * order.shard_slots + F.col("row")).alias("slot"), crc("ids").alias("ids_crc32"))
+    return order.index().join(written, "slot").select("slot", "shard", "row", "seq", "doc_ids", "n_tokens", "ids_crc32")

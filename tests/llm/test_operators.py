@@ -241,23 +241,46 @@ def test_tokens_and_shards(spark, odd, empty, tmp_path):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_shards.VOCABULARY, "rb"))}
     whole = tiktoken.Encoding("test", pat_str=token_shards.SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [prose(i, 20 + i) + "\nÉa ñ  two  spaces\t" + "it's 12.5" for i in range(40)] + [None, "", " x", "x \ny\n z "]
-    d = docs_of(spark, texts)
-    rows = token_shards.training_order(d, seq_len=64, shard_slots=8).collect()
+    d = docs_of(spark, texts).coalesce(1)
+    path = str(tmp_path / "shards")
+    rows = token_shards.training_order(d, path, seq_len=64, shard_slots=8).collect()
     stream = [t for x in texts for t in [*(whole.encode_ordinary(x) if x else []), token_shards.END_OF_TEXT]]
+    owner = [i for i, x in enumerate(texts) for _ in range(1 + (len(whole.encode_ordinary(x)) if x else 0))]
     n = -(-len(stream) // 64)
     assert sorted(r["slot"] for r in rows) == list(range(n))
+    back = {(s, r["row"]): bytes(r["ids"]) for s in range(-(-n // 8)) for r in token_shards.read_shard(spark, path, s, 64).collect()}
     for r in rows:
-        ids = np.frombuffer(r["ids"], "<u2").tolist()
+        ids = np.frombuffer(back[r["shard"], r["row"]], "<u2").tolist()
         part = stream[r["seq"] * 64 : r["seq"] * 64 + 64]
         assert ids == part + [token_shards.END_OF_TEXT] * (64 - len(part)) and r["n_tokens"] == len(part)
+        assert r["doc_ids"] == sorted(set(owner[r["seq"] * 64 : r["seq"] * 64 + 64])) and r["ids_crc32"] == zlib.crc32(back[r["shard"], r["row"]])
         assert r["slot"] == token_shards.permute(np.array([r["seq"]]), n)[0] and (r["shard"], r["row"]) == divmod(r["slot"], 8)
-    path = str(tmp_path / "shards")
-    token_shards.write_shards(token_shards.training_order(d, seq_len=64, shard_slots=8), path)
-    back = {(s, r["row"]): bytes(r["ids"]) for s in range(-(-n // 8)) for r in token_shards.read_shard(spark, path, s, 64).collect()}
-    assert back == {(r["shard"], r["row"]): bytes(r["ids"]) for r in rows}
+    assert len(back) == n
     assert token_shards.read_shard(spark, path, 0, 64, first_row=3).count() == 5
-    assert sum(r["n_tokens"] for r in token_shards.training_order(odd).select("n_tokens").collect()) >= odd.count()
-    assert token_shards.training_order(empty).count() == 0
+    assert token_shards.read_shard(spark, path, 0, 64, first_row=9).count() == 0
+    assert token_shards.read_records(spark, path, 8 + 5, 2, 64, 8) == [back[1, 5], back[1, 6]]
+    assert token_shards.read_records(spark, path, 8 + 7, 9, 64, 8) == [back[1, 7]] and token_shards.read_records(spark, path, 8 * n, 1, 64, 8) == []
+    assert sum(r["n_tokens"] for r in token_shards.training_order(odd, str(tmp_path / "odd")).collect()) >= odd.count()
+    assert token_shards.training_order(empty, str(tmp_path / "empty")).count() == 0
+
+
+def test_shards_from_many_partitions_and_after_a_break(spark, tmp_path):
+    """Every partition's stream holds whole documents; a second call writes the shards that are missing and no others."""
+    d = docs_of(spark, [prose(i, 30 + i % 17) for i in range(60)]).repartition(5)
+    order = token_shards.TrainingOrder(d, seq_len=64, shard_slots=4)
+    rows = {(r["shard"], r["row"]): bytes(r["ids"]) for r in order.sequences().collect()}
+    assert len(rows) == order.size == order.index().count() and {4 * s + r for s, r in rows} == set(range(order.size))
+    total = sum(r["n_tokens"] for r in order.index().collect())
+    assert total == sum(sum(x) for x in (r["lengths"] for r in order.packed.collect()))
+    path = tmp_path / "broken"
+    token_shards.write_shards(order.sequences(), str(path), placed=True)
+    kept = {p.name: p.stat().st_mtime_ns for p in path.glob("shard=*/part-*") if p.parent.name != "shard=1"}
+    for p in (path / "shard=1").iterdir():
+        p.unlink()
+    (path / "shard=1").rmdir()
+    token_shards.write_shards(order.sequences().repartition(3), str(path))
+    assert {p.name: p.stat().st_mtime_ns for p in path.glob("shard=*/part-*") if p.parent.name != "shard=1"} == kept
+    assert {(r["shard"], r["row"]): bytes(r["ids"]) for r in token_shards.read_shards(spark, str(path), 64).collect()} == rows
 
 
 # --- 6 sharding
