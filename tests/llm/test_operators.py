@@ -203,6 +203,15 @@ def test_quotas_are_highest_quotients():
             assert mixing.sainte_lague(votes, seats, most) == [expected[i] for i in range(len(votes))]
 
 
+def test_draws_are_permutations_and_small_sources_meet_their_targets(spark):
+    for n in (1, 2, 3, 50, 1000):
+        keys = mixing.round_keys(1, 2, n)
+        assert sorted(mixing.drawn_at(np.arange(n), n, keys).tolist()) == list(range(n))
+    d = docs_of(spark, ["a b c", "d " * 40, "e " * 3000, "f " * 70], sources=("s", "t", "u", None))
+    for r in mixing.mix(d).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert r["taken"] == int(r["target"]) > 0
+
+
 def test_mix(spark, odd, empty):
     texts = [prose(i, 5 + i * 37 % 400) for i in range(120)] + [None, ""]
     d = docs_of(spark, texts, sources=("a", "a", "b", "c", None, "d"))
@@ -212,7 +221,14 @@ def test_mix(spark, odd, empty):
     by = {}
     for r in out:
         by.setdefault(r["source"], [r["target"], r["source_size"], 0])[2] += r["taken"]
-    assert all(abs(t - got) <= 2 * mixing.BLOCK_WORDS and t <= 2 * size for t, size, got in by.values())
+    assert all(got == int(t) and t <= 2 * size for t, size, got in by.values())
+    # Quotas of the shards: apportionments of 1, 2, ... shards, drawn as whole blocks.
+    sizes = sorted(((x, v[1]) for x, v in by.items()), key=lambda x: (x[0] is None, x[0] or ""))
+    for p in mixing.plan(sizes):
+        drawn = np.diff([0, *p["shard_ends"]])
+        got = np.array([r["by_shard"] for r in out if r["source"] == p["source"]]).sum(axis=0)
+        assert got.sum() == int(p["target"]) and all(a <= mixing.BLOCK_WORDS * n for a, n in zip(got, drawn)) and got.max() > 0
+        assert sum(mixing.BLOCK_WORDS * n - a for a, n in zip(got, drawn)) <= 3 * mixing.BLOCK_WORDS
     assert abs(sum(t for t, _, _ in by.values()) - 1.5 * total) < 1e-6 * total
     text = mixing.mixed_documents(d)
     words = Counter()
@@ -220,6 +236,12 @@ def test_mix(spark, odd, empty):
         words[r["doc_id"]] += len(WORD.findall(r["text"]))
         assert r["n_chars"] == len(r["text"])
     assert words == Counter({r["doc_id"]: r["taken"] for r in out if r["taken"]}) and text.columns == d.columns
+    by_shard = Counter()
+    for r in mixing.mixed_documents(d, shards=16, shard_column="in_shard").collect():
+        by_shard[r["doc_id"], r["in_shard"]] += len(WORD.findall(r["text"]))
+    assert by_shard == Counter({(r["doc_id"], k): n for r in out for k, n in enumerate(r["by_shard"]) if n})
+    clash = d.withColumns({c: F.lit("x") for c in ("taken", "start", "size", "place", "passes", "part", "shard")})
+    assert sorted(map(str, mixing.mixed_documents(clash).select(*d.columns).collect())) == sorted(map(str, text.collect()))
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(d.repartition(7)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in out}
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
