@@ -16,7 +16,10 @@ and wordless texts have evidence 0 and the score that goes with it.
 Training reads at most ``max_docs`` labelled texts per class, chosen by a hash
 of doc_id; n-grams are counted on Spark. The model on the executors has at most
 ``max_entries`` words and as many bigrams (the count threshold rises until it
-fits). Scoring is a pass over all texts without a shuffle.
+fits). Scoring is a pass over all texts without a shuffle. Rows that repeat get
+the same score each, ids may be null (such rows are scored and never learnt
+from), an empty table gives no rows, texts are read whole, ties of the
+threshold count as toxic. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -184,8 +187,9 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 def _largest(df: DataFrame, n: Column, most: int, least: int) -> DataFrame:
     """Rows whose count n reaches the smallest threshold, ``least`` or more, that keeps ``most`` rows at most."""
-    sizes = sorted((r["n"], r["k"]) for r in df.select(F.least(n, F.lit(1000)).alias("n")).groupBy("n").agg(F.count("*").alias("k")).collect())
-    left, bound = 0, 1001
+    # A row for each different count: fewer than the square root of twice the sample's words.
+    sizes = sorted((r["n"], r["k"]) for r in df.select(n.alias("n")).groupBy("n").agg(F.count("*").alias("k")).collect())
+    left, bound = 0, sizes[-1][0] + 1 if sizes else 1
     for count, k in reversed(sizes):
         if count < least or left + k > most:
             break
@@ -236,17 +240,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MA
 
 
 def _evidence(texts: DataFrame, shared, keys: list[str]) -> DataFrame:
-    kinds = dict(texts.dtypes)
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["evidence double"])
+    """The keys, which stay in the JVM, and the evidence of the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         for b in batches:
-            out = b[keys].convert_dtypes()
-            out["evidence"] = np.array([model.evidence(t) for t in b["text"]], dtype=float)
-            yield out
+            yield pd.Series([model.evidence(t) for t in b], dtype=float)
 
-    return texts.mapInPandas(run, schema)
+    return texts.select(*keys, run("text").alias("evidence"))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
