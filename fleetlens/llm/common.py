@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+_recorders: list[list[str]] = []
 #: Name of the column of row keys.
 ROW = "_row_key"
 #: Keys of 8 bytes that are broadcast (about 40 MB on an executor); a checkpointed side has no size that Spark could judge by.
@@ -36,15 +38,36 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+def output_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for something that stays."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Adds the tables that ``stored`` writes meanwhile to ``paths``."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.pop()
+
+
+def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Delete recorded tables that ``needed`` is not read from."""
+    files = needed.inputFiles() if paths else []
+    for path in [p for p in paths if not any(p.rpartition("/")[2] in f for f in files)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        paths.remove(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once, compressed, into the shared folder and read back."""
-    path = shared_path(df.sparkSession, name)
+    path = output_path(df.sparkSession, name)
+    for paths in _recorders:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, hilbert_shards, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, token_shards, toxicity
-from .common import read_table, shared_path
+from .common import read_table, output_path
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.training_order(read_table(spark, sf_dir, "documents"), shared_path(spark, "shards"))
+    return token_shards.training_order(read_table(spark, sf_dir, "documents"), output_path(spark, "shards"))
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,15 +232,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MA
     model = build_model(words, grams, sums)
     held = texts.filter(back)
     shared = spark.sparkContext.broadcast(model)
-    pdf = _evidence(held.select("doc_id", "text", "toxic"), shared, ["doc_id", "toxic"]).select("toxic", "evidence").toPandas()
+    pdf = held.select("toxic", evidence_of(F.col("text"), shared).alias("evidence")).toPandas()
     if len(pdf) < 20 or pdf["toxic"].nunique() < 2:  # too few rows to hold any back
-        pdf = _evidence(texts.select("doc_id", "text", "toxic"), shared, ["doc_id", "toxic"]).select("toxic", "evidence").toPandas()
+        pdf = texts.select("toxic", evidence_of(F.col("text"), shared).alias("evidence")).toPandas()
     model.slope, model.shift = fit_curve(pdf["evidence"].to_numpy(dtype=float), pdf["toxic"].to_numpy(dtype=float))
     return model
 
 
-def _evidence(texts: DataFrame, shared, keys: list[str]) -> DataFrame:
-    """The keys, which stay in the JVM, and the evidence of the text."""
+def evidence_of(text: Column, shared) -> Column:
+    """Evidence of each text under a broadcast model; other columns stay in the JVM."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -248,18 +248,28 @@ def _evidence(texts: DataFrame, shared, keys: list[str]) -> DataFrame:
         for b in batches:
             yield pd.Series([model.evidence(t) for t in b], dtype=float)
 
-    return texts.select(*keys, run("text").alias("evidence"))
+    return run(text)
+
+
+def score_of(evidence: Column, model: Model) -> Column:
+    z = F.lit(model.slope) * evidence + F.lit(model.shift)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = _evidence(docs.select("doc_id", "text"), shared, ["doc_id"])
-    z = F.lit(model.slope) * F.col("evidence") + F.lit(model.shift)
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
+    scored = docs.select("doc_id", evidence_of(F.col("text"), shared).alias("evidence"))
+    score = score_of(F.col("evidence"), model)
     return scored.select("doc_id", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "evidence")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows that the model does not reject, each judged by itself: nothing is joined or moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.filter(score_of(evidence_of(F.col("text"), shared), model) < threshold)
+
+
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled rows outside the held-out fold, score all rows."""
     held_out = doc_fold(F.col("doc_id"), 3) == 1
