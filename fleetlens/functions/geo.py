@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,13 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.when(h.isNotNull(), meters)
 
 
+def metres_between(lat1, lon1, lat2, lon2):
+    """``haversine_m`` for numbers and arrays."""
+    a, b = np.radians(lat1), np.radians(lat2)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(np.subtract(lon2, lon1)) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0.0, 1.0)))
+
+
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
     x = F.sin(d) * F.cos(b)

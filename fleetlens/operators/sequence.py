@@ -98,13 +98,17 @@ def forward_fill(points: DataFrame) -> DataFrame:
     return rows.select("*", *[F.col(f"_f.{c}").alias(f"{c}_last") for c in ("latitude", "longitude", "speed_kmh")]).drop("_f")
 
 
-def record_groups(points: DataFrame) -> DataFrame:
-    """Runs of fixes that repeat one record and place: group_id, first row, time, place and speed, number of rows."""
+def record_rows(points: DataFrame) -> DataFrame:
+    """Fixes with a time, numbered by runs that repeat one record and place (``group_id``); ``_key`` is what they repeat."""
     fixes = points.filter(P.has_fix() & P.finite("start_time_sec") & ~P.is_synthetic())
     key = F.struct(P.record_key().alias("r"), "latitude", "longitude")
-    marked = fixes.withColumn("_k", key).withColumn("_new", (~F.col("_k").eqNullSafe(F.lag("_k").over(ordered()))).cast("int"))
-    marked = marked.withColumn("group_id", F.sum("_new").over(so_far()))
-    return marked.groupBy("case_id", "group_id").agg(
+    marked = fixes.withColumn("_key", key).withColumn("_new", (~F.col("_key").eqNullSafe(F.lag("_key").over(ordered()))).cast("int"))
+    return marked.withColumn("group_id", F.sum("_new").over(so_far())).drop("_new")
+
+
+def record_groups(points: DataFrame) -> DataFrame:
+    """The runs of ``record_rows``: group_id, first row, time, place and speed, number of rows."""
+    return record_rows(points).groupBy("case_id", "group_id").agg(
         F.min("row_idx").alias("row_idx"), F.max("row_idx").alias("last_idx"), F.count("*").alias("n_rows"),
         *[F.min_by(c, "row_idx").alias(c) for c in ("t_us", "start_time_sec", "latitude", "longitude", "speed_kmh", "segment_index")],
     )

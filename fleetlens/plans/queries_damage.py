@@ -54,14 +54,41 @@ def win_outlier_speed_spike(p: DataFrame) -> DataFrame:
     return X.spike_groups(S.record_groups(p))
 
 
-@query()
+#: Groups of a case as lists, for walks from position to position.
+LISTS = GROUPS + """, gl AS (SELECT g2.case_id, CAST(gid AS BIGINT) AS gid, min(row_idx) AS row_idx, arg_min(start_time_sec, row_idx) AS t, arg_min(speed_kmh, row_idx) AS v,
+ arg_min(latitude, row_idx) AS la, arg_min(longitude, row_idx) AS lo FROM g2 GROUP BY case_id, gid),
+"""
+
+
+@query(LISTS + """ls AS (SELECT case_id, list(t ORDER BY gid) AS t, list(v ORDER BY gid) AS v, list(gid ORDER BY gid) AS g, list(row_idx ORDER BY gid) AS r FROM gl WHERE v IS NOT NULL GROUP BY case_id),
+wk(case_id, i, kept, bad) AS (SELECT case_id, CAST(1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM ls
+ UNION ALL
+ SELECT case_id, CASE WHEN ok THEN i + 1 WHEN bk IS NOT NULL THEN bk + 1 ELSE i + 1 END,
+  CASE WHEN ok THEN list_append(kept, i) WHEN bk IS NOT NULL THEN list_append(kept, bk) WHEN t[i] IS NOT NULL AND v[i] > v[b] THEN kept ELSE list_append(kept, i) END,
+  CASE WHEN ok THEN bad WHEN bk IS NOT NULL THEN list_concat(bad, range(i, bk)) WHEN v[i] > v[b] THEN list_append(bad, i) ELSE bad END
+ FROM (SELECT *, list_filter(range(i + 1, len(t) + 1), lambda j: t[j] - t[b] <= 5 AND abs(v[j] - v[b]) / (t[j] - t[b]) <= 40 AND abs(v[j] - v[b]) < abs(v[j] - v[i]))[1] AS bk
+  FROM (SELECT *, b IS NULL OR abs(v[i] - v[b]) / (t[i] - t[b]) <= 40 AS ok
+   FROM (SELECT wk.case_id, i, kept, bad, t, v, list_filter(kept, lambda j: t[i] - t[j] >= 0.85)[-1] AS b FROM wk JOIN ls ON wk.case_id = ls.case_id WHERE i <= len(t)))))
+SELECT case_id, g[x] AS group_id, r[x] AS row_idx FROM (SELECT wk.case_id, g, r, unnest(bad) AS x FROM wk JOIN ls ON wk.case_id = ls.case_id WHERE i > len(t))""")
 def win_outlier_rate_limit(p: DataFrame) -> DataFrame:
-    return X._fold(S.record_groups(p), "rate").select("case_id", "group_id", "row_idx")
+    return X.rate_groups(S.record_groups(p)).select("case_id", "group_id", "row_idx")
 
 
-@query()
+def _metres(i: str, j: str) -> str:
+    return HAV.format(a=f"la[{i}]", b=f"la[{j}]", c=f"lo[{i}]", d=f"lo[{j}]")
+
+
+@query(LISTS + f"""ls AS (SELECT case_id, list(t ORDER BY gid) AS t, list(la ORDER BY gid) AS la, list(lo ORDER BY gid) AS lo, list(gid ORDER BY gid) AS g, list(row_idx ORDER BY gid) AS r FROM gl GROUP BY case_id),
+wk(case_id, i, good, bad) AS (SELECT case_id, CAST(1 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]) FROM ls
+ UNION ALL
+ SELECT case_id, i + 1, CASE WHEN mark THEN good ELSE i END, CASE WHEN mark THEN list_append(bad, i) ELSE bad END
+ FROM (SELECT *, coalesce(CASE WHEN good IS NULL THEN i + 2 <= len(t) AND t[i + 1] > t[i] AND d1 / (t[i + 1] - t[i]) > 100 AND d1 > 150 AND t[i + 2] > t[i + 1] AND d2 < 0.5 * d1
+    ELSE t[i] > t[good] AND dg / (t[i] - t[good]) > 100 AND dg > 150 AND (i = len(t) OR dn < 0.5 * dg) END, false) AS mark
+  FROM (SELECT wk.case_id, i, good, bad, t, {_metres("i", "i + 1")} AS d1, {_metres("i + 1", "i + 2")} AS d2, {_metres("good", "i")} AS dg, {_metres("good", "i + 1")} AS dn
+   FROM wk JOIN ls ON wk.case_id = ls.case_id WHERE i <= len(t))))
+SELECT case_id, g[x] AS group_id, r[x] AS row_idx FROM (SELECT wk.case_id, g, r, unnest(bad) AS x FROM wk JOIN ls ON wk.case_id = ls.case_id WHERE i > len(t))""")
 def win_outlier_position_jump(p: DataFrame) -> DataFrame:
-    return X._fold(S.record_groups(p), "position").select("case_id", "group_id", "row_idx")
+    return X.jump_groups(S.record_groups(p)).select("case_id", "group_id", "row_idx")
 
 
 @query()

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = lambda spark, sf_dir: f(track_points(spark, sf_dir))
         if sql:
-            O[f.__name__] = "WITH " + ORACLE_CTE.strip() + ("," if not sql.lstrip().upper().startswith("SELECT") else "") + "\n" + sql
+            O[f.__name__] = ("WITH RECURSIVE " if "wk(" in sql else "WITH ") + ORACLE_CTE.strip() + ("," if not sql.lstrip().upper().startswith("SELECT") else "") + "\n" + sql
         return f
 
     return add
