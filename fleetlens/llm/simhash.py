@@ -166,8 +166,10 @@ SIMILARITY = 0.8
 WIDE_SHINGLE = 5
 #: Up to so many at a point are all compared with each other.
 EVERY_PAIR = 8
-#: Most central texts of a larger point.
-HEADS = 3
+#: Most central texts that each text of larger points is compared with.
+HEADS = 4
+#: Texts that are fingerprinted at a time, which bounds a worker's memory.
+AT_ONCE = 500
 
 
 def _words_of(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
@@ -238,8 +240,8 @@ def similar_rows(
 
     At a point up to ``EVERY_PAIR`` texts are all compared. Where more meet,
     which is a group of near copies, every text is compared with the ``HEADS`` most
-    central ones at each of its points (those that meet most others over all tables)
-    and with its predecessor in that order; what this leaves outside the group of
+    central ones of all its points (those that meet most others over all tables)
+    and with a neighbour at the smallest one; what this leaves outside the group of
     the most central one is compared the same way among itself. So comparisons
     grow with the texts and not with the square of a group. The complete
     fingerprints are verified first, then the sets themselves.
@@ -248,10 +250,14 @@ def similar_rows(
     @F.pandas_udf("same binary, fp binary, free binary")
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_set(t, shingle, seed) for t in texts]
-            fps, masks = wide_fingerprints(sets)
-            same = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pd.DataFrame({"same": same, "fp": [x.tobytes() for x in fps], "free": [x.tobytes() for x in masks]})
+            same, fp, free = [], [], []
+            for k in range(0, len(texts), AT_ONCE):
+                sets = [shingle_set(t, shingle, seed) for t in texts.iloc[k : k + AT_ONCE]]
+                fps, masks = wide_fingerprints(sets)
+                same += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                fp += [x.tobytes() for x in fps]
+                free += [x.tobytes() for x in masks]
+            yield pd.DataFrame({"same": same, "fp": fp, "free": free})
 
     marked = stored(keyed.select(ROW, mark("text").alias("m")).select(ROW, "m.*"), "marked")
     worded = marked.filter("same is not null")
@@ -259,8 +265,8 @@ def similar_rows(
 
     def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 500):
-                part = b.iloc[k : k + 500]
+            for k in range(0, len(b), AT_ONCE):
+                part = b.iloc[k : k + AT_ONCE]
                 points = ball_points(_matrix(part["fp"], WIDE_WORDS), _matrix(part["free"], WIDE_WORDS))
                 yield pd.DataFrame({"point": points.ravel().view(np.int64), "node": np.repeat(part["node"].to_numpy(), points.shape[1])})
 
@@ -269,21 +275,25 @@ def similar_rows(
     met = stored(met, "met")
     central = met.groupBy("node").agg(F.sum("n").alias("crowd"))
     ordered = Window.partitionBy("point").orderBy(F.desc("crowd"), "node")
-    near = F.collect_list("node").over(ordered.rowsBetween(1 - EVERY_PAIR, -1))
-    heads = [F.nth_value("node", k).over(ordered) for k in range(1, HEADS + 1)]
-    ranked = met.join(central, "node").select("node", "n", near.alias("near"), F.array(*heads, F.lag("node").over(ordered)).alias("heads"))
-    others = F.when(F.col("n") <= EVERY_PAIR, F.col("near")).otherwise(F.array_compact("heads"))
-    candidates = _pairs(ranked.select("node", F.explode(F.array_distinct(others)).alias("other")))
-
+    few = met.filter(F.col("n") <= EVERY_PAIR).select("node", F.collect_list("node").over(Window.partitionBy("point").orderBy("node").rowsBetween(1 - EVERY_PAIR, -1)).alias("others"))
+
+    def in_crowds(rows: DataFrame) -> DataFrame:
+        """(node, others) of rows (point, node, n, crowd): the most central texts over all points, and a neighbour at the smallest one."""
+        who = F.struct("crowd", "node")
+        heads = F.array_compact(F.array(*[F.nth_value(who, k).over(ordered) for k in range(1, HEADS + 1)]))
+        ranked = rows.select("node", "n", heads.alias("heads"), F.lag("node").over(ordered).alias("before"))
+        by_node = ranked.groupBy("node").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("heads"))), asc=False).alias("heads"), F.min_by("before", F.when(F.col("before").isNotNull(), F.col("n"))).alias("before"))
+        return by_node.select("node", F.array_compact(F.array_append(F.slice("heads", 1, HEADS)["node"], F.col("before"))).alias("others"))
+
+    crowds = met.filter(F.col("n") > EVERY_PAIR).join(central, "node")
+    candidates = _pairs(few.union(in_crowds(crowds)).select("node", F.explode("others").alias("other")))
     sets = _Sets(keyed, distinct, shingle, seed, max_distance, similarity)
     found = sets.alike(candidates)
     parts = connected_components(found)
-    # What crowded points still hold outside the group of their most central text is compared with the most central of the rest.
-    rooted = met.filter(F.col("n") > EVERY_PAIR).join(parts, "node", "left").join(central, "node")
-    rooted = rooted.select("point", "node", "crowd", F.coalesce("root", "node").alias("root"))
-    rest = rooted.withColumn("main", F.first("root").over(ordered)).filter("root <> main").drop("main")
-    rest = rest.select("node", F.array(F.first("node").over(ordered), F.lag("node").over(ordered)).alias("heads"))
-    rest = _pairs(rest.select("node", F.explode(F.array_compact("heads")).alias("other")))
+    # What crowds still hold outside the group of their most central text is compared the same way among itself.
+    rooted = crowds.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = rooted.withColumn("main", F.first("root").over(ordered)).filter("root <> main").select("point", "node", "n", "crowd")
+    rest = _pairs(in_crowds(rest).select("node", F.explode("others").alias("other")))
     more = sets.alike(rest.join(candidates, ["node", "other"], "left_anti"))
     if more.limit(1).count():
         parts = connected_components(found.union(more))
