@@ -98,3 +98,20 @@ def tick_step(span: Column) -> Column:
     for step in reversed(TICK_STEPS):
         out = F.when(span / step <= 10, step).otherwise(out)
     return F.when(span <= 5, 1).when(span <= 10, 2).when(span <= 100, 10).otherwise(out)
+
+
+def view_tag(mode: Column, separate_rear: Column) -> Column:
+    """Views of a recording: front and rear (``F, B``), one of them, or '' for a plain front file."""
+    both = F.lit("F, B")
+    return F.when(mode == "both", both).when(mode == "front", "F").when(mode == "rear", "B").when(separate_rear, both).otherwise("")
+
+
+def same_view(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit(""))
+
+
+def time_estimate_tag(source: Column, estimated: Column) -> Column:
+    """Whether a playback time is an estimate, and of which clock."""
+    s = F.coalesce(source, F.lit(""))
+    is_estimate = F.coalesce(estimated, F.lit(False)) | s.endswith("_estimated")
+    return F.when(~is_estimate, "").when(s.isin("", "gps_utc_estimated"), "utc_estimated").otherwise("estimated")

@@ -24,8 +24,8 @@ def parse_date(c: Column) -> Column:
 def parse_time(c: Column) -> Column:
     """Seconds of the day of ``h:mm:ss[.f]`` or ``hhmmss[.f]``, without the fraction."""
     t = F.trim(c)
-    plain = t.rlike(r"^\d{6}(\.\d*)?$")
-    pattern = r"^(\d{1,2}):(\d{2}):(\d{2})(?:\.\d*)?$"
+    plain = t.rlike(r"^\d{6}(\.\d+)?$")
+    pattern = r"^(\d{1,2}):(\d{2}):(\d{2})(?:\.\d+)?$"
     h, m, s = (F.when(plain, F.substring(t, 2 * i + 1, 2)).otherwise(F.nullif(F.regexp_extract(t, pattern, i + 1), F.lit(""))).try_cast("int") for i in range(3))
     return F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s)
 
@@ -47,7 +47,7 @@ def date_days(c: Column) -> Column:
 def abs_time_seconds(c: Column) -> Column:
     """Seconds of a device's local time text; only differences of these mean anything."""
     t = F.trim(c)
-    ok = t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$")
+    ok = t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?|T\d{1,2}:\d{1,2}:\d{1,2})$")
     whole = F.try_to_timestamp(F.replace(F.regexp_replace(t, r"\.\d+$", ""), F.lit("T"), F.lit(" ")), F.lit("y-M-d H:m:s"))
     part = F.coalesce(F.nullif(F.regexp_extract(t, r"(\.\d+)$", 1), F.lit("")).try_cast("double"), F.lit(0.0))
     return F.when(ok, F.unix_timestamp(whole) + part)
@@ -86,3 +86,11 @@ def mp4_epoch(seconds_since_1904: Column) -> Column:
     """Unix seconds of an MP4 time, null before 1970."""
     s = seconds_since_1904 - 2_082_844_800
     return F.when(s >= 0, s)
+
+
+def format_local_iso(c: Column) -> Column:
+    """An ISO date and time, in the session's zone if it names none, as display time; what cannot be read stays, and nothing is '-'."""
+    iso = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
+    t = F.trim(c)
+    shown = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("+09:00"), F.when(t.rlike(iso), t.try_cast("timestamp")).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
+    return F.coalesce(F.concat(shown, F.lit(" (UTC+9)")), F.nullif(c, F.lit("")), F.lit("-"))

@@ -38,6 +38,12 @@ def nominal_spacing(times: DataFrame) -> DataFrame:
     return by_case.select("case_id", F.when(F.size("g") < 2, F.lit(1.0)).otherwise(middle).alias("nominal"))
 
 
+def spacing_of(real: DataFrame) -> DataFrame:
+    """Spacing of the rows with a place in the file, of all rows in cases where none has one."""
+    placed = F.max(F.col("source_offset").isNotNull()).over(Window.partitionBy("case_id"))
+    return nominal_spacing(real.withColumn("_placed", placed).filter(~F.col("_placed") | F.col("source_offset").isNotNull()))
+
+
 def real_timed(points: DataFrame) -> DataFrame:
     return points.filter(~P.is_synthetic() & F.col("start_time_sec").isNotNull())
 
@@ -55,6 +61,18 @@ def subtract_ranges(runs: DataFrame, excluded: DataFrame, least: int = 1, keys:
     return pieces.select(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).filter(F.col("b") - F.col("a") >= least)
 
 
+def region_kinds(merged: DataFrame, regions: DataFrame) -> DataFrame:
+    """Merged regions with their kind: a gap if any part is one, else zeros."""
+    gaps = regions.filter("kind = 'gap'").select(F.col("case_id").alias("_g"), F.col("a").alias("_ga"), F.col("b").alias("_gb"))
+    kinds = merged.join(gaps, (F.col("case_id") == F.col("_g")) & (F.col("_ga") < F.col("b")) & (F.col("_gb") > F.col("a")), "left")
+    return kinds.groupBy("case_id", "a", "b").agg(F.when(F.count("_g") > 0, "gap").otherwise("zero").alias("kind"))
+
+
+def on_line(v0, v1, t0, t1, t):
+    """Value at a time on the line between two."""
+    return v0 + (v1 - v0) * ((t - t0) / (t1 - t0))
+
+
 def intervals(points: DataFrame, regions: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """Time intervals (case_id, start_sec, end_sec, kind) where damaged bytes cost records.
 
@@ -63,12 +81,8 @@ def intervals(points: DataFrame, regions: DataFrame, durations: DataFrame | None
     """
     real = real_timed(points)
     anchors = real.filter(F.col("source_offset").isNotNull())
-    spacing = nominal_spacing(anchors)
-    gaps = regions.filter("kind = 'gap'").select(F.col("case_id").alias("_g"), F.col("a").alias("_ga"), F.col("b").alias("_gb"))
-    merged = merge_regions(regions.select("case_id", "a", "b"))
-    # A merged region is a gap if any of its parts is.
-    kinds = merged.join(gaps, (F.col("case_id") == F.col("_g")) & (F.col("_ga") < F.col("b")) & (F.col("_gb") > F.col("a")), "left")
-    merged = kinds.groupBy("case_id", "a", "b").agg(F.when(F.count("_g") > 0, "gap").otherwise("zero").alias("kind"))
+    spacing = spacing_of(real)
+    merged = region_kinds(merge_regions(regions.select("case_id", "a", "b")), regions)
     by_offset = Window.partitionBy("case_id").orderBy("source_offset")
     steps = anchors.select(
         "case_id", F.col("source_offset").alias("lo"), F.lead("source_offset").over(by_offset).alias("hi"), F.col("start_time_sec").alias("t0"), F.lead("start_time_sec").over(by_offset).alias("t1"),
@@ -108,7 +122,7 @@ def candidate_seconds(found: DataFrame) -> DataFrame:
 def free_seconds(points: DataFrame, found: DataFrame) -> DataFrame:
     """Candidate seconds with no real row within half a record of them, at most half a second."""
     real = real_timed(points)
-    spacing = nominal_spacing(real.filter(F.col("source_offset").isNotNull())).select("case_id", F.least(F.lit(0.5), F.col("nominal") / 2).alias("w"))
+    spacing = spacing_of(real).select("case_id", F.least(F.lit(0.5), F.col("nominal") / 2).alias("w"))
     c = candidate_seconds(found).join(spacing, "case_id", "left").withColumn("w", F.coalesce("w", F.lit(0.5)))
     # Equality on the second on either side turns the range test into a hash join.
     seconds = real.select(F.col("case_id").alias("_c"), F.col("start_time_sec").alias("_t"), F.explode(F.array(F.floor("start_time_sec"), F.floor("start_time_sec") + 1)).alias("_s"))

@@ -25,6 +25,20 @@ def criteria() -> Column:
     return F.array(*[F.struct(F.lit(v).alias("vehicle"), *[F.lit(x).alias(k) for k, x in zip(LIMITS, limits, strict=True)]) for v, limits in rows])
 
 
+def criteria_lines() -> list[tuple[str, int, str]]:
+    """(vehicle, line number, text): the limits in words."""
+    out = []
+    for vehicle, (a, start, d, stop) in CRITERIA.items():
+        lines = (
+            f"accel: from 6-10 km/h by {a[0]:g}, from 10-20 by {a[1]:g}, from over 20 by {a[2]:g} km/h in a second",
+            f"start: from up to 5 km/h by {start:g} km/h in a second",
+            f"decel: from up to 30 km/h by {d[0]:g}, up to 50 by {d[1]:g}, over 50 by {d[2]:g} km/h in a second, and still 6 km/h",
+            f"stop: by {stop:g} km/h in a second to 5 km/h or less",
+        )
+        out += [(vehicle, k + 1, text) for k, text in enumerate(lines)]
+    return out
+
+
 def vehicle_or_car(name: str) -> Column:
     return F.when(F.col(name).isin(*CRITERIA), F.col(name)).otherwise("car")
 
