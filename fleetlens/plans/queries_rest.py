@@ -141,12 +141,6 @@ def fn_external_map_url(p: DataFrame) -> DataFrame:
     return p.filter(P.has_fix()).select("case_id", "row_idx", texts.map_url(F.col("latitude"), F.col("longitude")).alias("url"))
 
 
-@query("""SELECT event_id, lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS text
- FROM (SELECT event_id, CAST(floor(value * 37) AS BIGINT) AS s FROM events)""", "events")
-def fn_fmt_duration(events: DataFrame) -> DataFrame:
-    return events.select("event_id", texts.duration_parts(F.col("value") * 37).alias("text"))
-
-
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || ' (UTC+9)' WHEN 1 THEN strftime(ts + INTERVAL 14 HOUR, '%Y-%m-%d %H:%M:%S') || ' (UTC+9)'
  WHEN 2 THEN 'soon' WHEN 3 THEN '-' ELSE strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || ' (UTC+9)' END AS text FROM events""", "events")
 def fn_format_local_iso(events: DataFrame) -> DataFrame:
