@@ -155,4 +155,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(current.select("b", "b").distinct())
+    return roots.union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -238,11 +238,12 @@ def similar_rows(
     table at all points of their balls. A point is 32 bits long and has its
     table's number: at 12 million texts (30 GB) 0.05 strangers stand at one.
 
-    At a point up to ``EVERY_PAIR`` texts are all compared. Where more meet,
-    which is a group of near copies, every text is compared with the ``HEADS`` most
-    central ones of all its points (those that meet most others over all tables)
-    and with a neighbour at the smallest one; what this leaves outside the group of
-    the most central one is compared the same way among itself. So comparisons
+    Points at which over ``EVERY_PAIR`` texts meet, as groups of near copies do,
+    come first: every text is compared with the ``HEADS`` most central ones of
+    all its points (those that meet most others over all tables) and with a
+    neighbour at the smallest one; what this leaves outside the group of the most
+    central one is compared the same way among itself. At the other points all
+    texts are compared that crowds have not yet put into one group. So comparisons
     grow with the texts and not with the square of a group. The complete
     fingerprints are verified first, then the sets themselves.
     """
@@ -272,10 +273,8 @@ def similar_rows(
 
     points = distinct.select("node", "fp", "free").mapInPandas(stand, "point long, node long")
     met = points.select("point", "node", F.count("*").over(Window.partitionBy("point")).alias("n")).filter("n > 1")
-    met = stored(met, "met")
-    central = met.groupBy("node").agg(F.sum("n").alias("crowd"))
+    met = stored(met.withColumn("crowd", F.sum("n").over(Window.partitionBy("node"))), "met")
     ordered = Window.partitionBy("point").orderBy(F.desc("crowd"), "node")
-    few = met.filter(F.col("n") <= EVERY_PAIR).select("node", F.collect_list("node").over(Window.partitionBy("point").orderBy("node").rowsBetween(1 - EVERY_PAIR, -1)).alias("others"))
 
     def in_crowds(rows: DataFrame) -> DataFrame:
         """(node, others) of rows (point, node, n, crowd): the most central texts over all points, and a neighbour at the smallest one."""
@@ -285,18 +284,22 @@ def similar_rows(
         by_node = ranked.groupBy("node").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("heads"))), asc=False).alias("heads"), F.min_by("before", F.when(F.col("before").isNotNull(), F.col("n"))).alias("before"))
         return by_node.select("node", F.array_compact(F.array_append(F.slice("heads", 1, HEADS)["node"], F.col("before"))).alias("others"))
 
-    crowds = met.filter(F.col("n") > EVERY_PAIR).join(central, "node")
-    candidates = _pairs(few.union(in_crowds(crowds)).select("node", F.explode("others").alias("other")))
     sets = _Sets(keyed, distinct, shingle, seed, max_distance, similarity)
+    crowded = F.col("n") > EVERY_PAIR
+    candidates = _pairs(in_crowds(met.filter(crowded)).select("node", F.explode("others").alias("other")))
     found = sets.alike(candidates)
-    parts = connected_components(found)
+    parts = materialize(connected_components(found))
+    rooted = met.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Texts that crowds have already brought together need no further comparison with each other.
+    earlier = Window.partitionBy("point").orderBy("node").rowsBetween(1 - EVERY_PAIR, -1)
+    small = rooted.filter(~crowded).withColumn("others", F.collect_list(F.struct("root", "node")).over(earlier))
+    few = small.select("node", F.filter("others", lambda o: o["root"] != F.col("root"))["node"].alias("others"))
     # What crowds still hold outside the group of their most central text is compared the same way among itself.
-    rooted = crowds.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = rooted.withColumn("main", F.first("root").over(ordered)).filter("root <> main").select("point", "node", "n", "crowd")
-    rest = _pairs(in_crowds(rest).select("node", F.explode("others").alias("other")))
-    more = sets.alike(rest.join(candidates, ["node", "other"], "left_anti"))
+    rest = rooted.filter(crowded).withColumn("main", F.first("root").over(ordered)).filter("root <> main").select("point", "node", "n", "crowd")
+    further = _pairs(few.union(in_crowds(rest)).select("node", F.explode("others").alias("other")))
+    more = sets.alike(further.join(candidates, ["node", "other"], "left_anti"))
     if more.limit(1).count():
-        parts = connected_components(found.union(more))
+        parts = connected_components(stored(found.union(more), "links"))
     named = distinct.join(parts, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
     grouped = worded.select(ROW, "same").join(named, "same").select(ROW, "group")
     return grouped.union(marked.filter("same is null").select(ROW, F.col(ROW).alias("group")))
