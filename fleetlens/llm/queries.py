@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert_shards, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, token_shards, toxicity
+from . import byte_bpe, decontamination, hilbert_shards, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, token_shards, toxicity
 from .common import read_table, output_path
 
 
@@ -59,10 +59,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("reasons")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.encode(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan, op2_decontamination, op3_toxicity, op4_mixing, op5_token_shards,
         op6_hilbert_shards, op7_language_id, op8_substring_dedup, op9_simhash, op10_quality_rules,
+        op11_byte_bpe,
     )
     return {f.__name__: f for f in found}
 
