@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, hilbert_shards, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, token_shards, toxicity
+from . import byte_bpe, collocations, decontamination, hilbert_shards, language_id, license_scan, mixing, quality_rules, simhash, source_divergence, substring_dedup, token_shards, toxicity
 from .common import read_table, output_path
 
 
@@ -63,14 +63,25 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(read_table(spark, sf_dir, "documents")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan, op2_decontamination, op3_toxicity, op4_mixing, op5_token_shards,
         op6_hilbert_shards, op7_language_id, op8_substring_dedup, op9_simhash, op10_quality_rules,
-        op11_byte_bpe,
+        op11_byte_bpe, op12_source_divergence, op13_collocations,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op4_mixing": mixing.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL,
+        "op12_source_divergence": source_divergence.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL,
+    }
