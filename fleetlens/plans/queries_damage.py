@@ -91,11 +91,6 @@ def win_outlier_position_jump(p: DataFrame) -> DataFrame:
     return X.jump_groups(S.record_groups(p)).select("case_id", "group_id", "row_idx")
 
 
-@query()
-def op_mark_outliers(p: DataFrame) -> DataFrame:
-    return X.mark_outliers(p).select("case_id", "row_idx", "is_outlier", "outlier_reason")
-
-
 # --- damage: one region of 1000 bytes around every damaged row
 
 
@@ -411,27 +406,6 @@ def op_compare_gps(p: DataFrame) -> DataFrame:
     return out.select("pair_id", "start_offset", "matches", "n_dist", F.round("median_m", 4).alias("median_m"), F.round("max_m", 4).alias("max_m"), "verdict")
 
 
-def _clip_sides(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    clips = p.filter("row_idx % 10 = 0").select(F.expr("case_id * 100 + row_idx").alias("clip_id"), F.expr("case_id % 20 * 2 + row_idx * 11 + t_us / 1e6").alias("start"), "case_id")
-    return clips.filter("case_id % 2 = 0"), clips.filter("case_id % 2 = 1")
-
-
-CLIP_SIDES = """cp AS (SELECT case_id * 100 + row_idx AS clip_id, case_id % 20 * 2 + row_idx * 11 + t_us / 1e6 AS start, case_id FROM pt WHERE row_idx % 10 = 0),
-cd AS (SELECT f.clip_id AS front_id, f.start AS fs, r.clip_id AS rear_id, r.start AS rs FROM cp f JOIN cp r ON f.case_id % 2 = 0 AND r.case_id % 2 = 1 AND abs(f.start - r.start) <= 3)
-"""
-
-
-@query(CLIP_SIDES + "SELECT front_id, rear_id, fs AS front_start, rs AS rear_start FROM cd")
-def jn_rear_by_time(p: DataFrame) -> DataFrame:
-    return L.rear_by_time(*_clip_sides(p))
-
-
-@query()
-def jn_pair_assignment(p: DataFrame) -> DataFrame:
-    found = L.rear_by_time(*_clip_sides(p)).withColumn("group_id", F.lit(0)).withColumn("cost", F.round(F.abs(F.col("front_start") - F.col("rear_start")), 3))
-    return L.assign_pairs(found.select("group_id", "front_id", "rear_id", "cost"))
-
-
 def queries() -> dict:
     return Q
 

@@ -77,7 +77,9 @@ def test_slack_sessions(spark):
 
 def test_greedy_pairs(spark):
     rows = [(0, 1, 11, 0.5), (0, 1, 12, 0.2), (0, 2, 12, 0.1), (0, 2, 11, 0.9), (0, 3, 11, 0.4)]
-    got = linkage.assign_pairs(spark.createDataFrame(rows, "group_id int, front_id long, rear_id long, cost double")).collect()
+    pairs = spark.createDataFrame(rows, "group_id int, front_id long, rear_id long, cost double")
+    pairs = pairs.withColumns({"front_start": F.col("front_id") * 1.0, "rear_start": F.col("rear_id") * 1.0})
+    got = linkage.assign_pairs(pairs).collect()
     assert sorted((r["front_id"], r["rear_id"]) for r in got) == [(2, 12), (3, 11)]
 
 
