@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import predicates as P
+from ..sources.shared import checkpointed
 
 #: Fixed values.
 RECORD_GAP_FACTOR = 1.5
@@ -79,10 +80,10 @@ def intervals(points: DataFrame, regions: DataFrame, durations: DataFrame | None
     ``regions(case_id, a, b, kind)`` are byte ranges, kind ``gap`` or ``zero``;
     ``durations(case_id, duration_sec, truncated)`` adds the tail and a cut end.
     """
-    real = real_timed(points)
+    real = checkpointed(real_timed(points).select("case_id", "row_idx", "source_offset", "start_time_sec"))
     anchors = real.filter(F.col("source_offset").isNotNull())
     spacing = spacing_of(real)
-    merged = region_kinds(merge_regions(regions.select("case_id", "a", "b")), regions)
+    merged = checkpointed(region_kinds(merge_regions(regions.select("case_id", "a", "b")), regions))
     by_offset = Window.partitionBy("case_id").orderBy("source_offset")
     steps = anchors.select(
         "case_id", F.col("source_offset").alias("lo"), F.lead("source_offset").over(by_offset).alias("hi"), F.col("start_time_sec").alias("t0"), F.lead("start_time_sec").over(by_offset).alias("t1"),
@@ -131,17 +132,27 @@ def free_seconds(points: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def fixes_around(points: DataFrame, found: DataFrame) -> DataFrame:
-    """Each interval with the last fix at or before its start and the first at or after its end."""
+    """Each interval with the last fix at or before its start and the first at or after its end.
+
+    Fixes and ends of intervals stand in one order of time, so the nearest fix is the last one seen from either side.
+    """
     fix = points.filter(P.has_fix() & ~P.is_synthetic() & F.col("start_time_sec").isNotNull())
-    fix = fix.select(F.col("case_id").alias("_c"), "row_idx", "start_time_sec", "latitude", "longitude", "speed_kmh", "segment_index")
     unit = F.struct("start_time_sec", "row_idx", "latitude", "longitude", "speed_kmh", "segment_index")
-    met = found.join(fix, F.col("case_id") == F.col("_c"), "left")
-    keys = ["case_id", "start_sec", "end_sec", "kind"]
-    out = met.groupBy(*keys).agg(
-        F.max(F.when(F.col("start_time_sec") <= F.col("start_sec"), unit)).alias("before"),
-        F.min(F.when(F.col("start_time_sec") >= F.col("end_sec"), unit)).alias("after"),
-        F.max(F.when((F.col("start_time_sec") <= F.col("start_sec")) & (F.col("speed_kmh") >= MOVING_KMH), unit)).alias("moving"),
-    )
+    none = F.lit(None).cast(found.select(F.struct("start_sec", "end_sec", "kind").alias("i")).schema["i"].dataType)
+    fixes = fix.select("case_id", F.col("start_time_sec").alias("at"), "row_idx", unit.alias("unit"), none.alias("interval"), F.lit(0).alias("side"))
+    sides = F.inline(F.array(F.struct(F.col("start_sec").alias("at"), F.lit(1).alias("side")), F.struct(F.col("end_sec").alias("at"), F.lit(2).alias("side"))))
+    marks = found.select("case_id", F.struct("start_sec", "end_sec", "kind").alias("interval"), sides)
+    rows = fixes.unionByName(marks, allowMissingColumns=True)
+    case = Window.partitionBy("case_id")
+    forward, back = case.orderBy("at", F.col("side") > 0, "row_idx"), case.orderBy(F.desc("at"), F.col("side") > 0, F.desc("row_idx"))
+    moving = F.when(F.col("unit.speed_kmh") >= MOVING_KMH, F.col("unit"))
+    seen = rows.withColumns({
+        "before": F.last("unit", ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, 0)), "moving": F.last(moving, ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.last("unit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
+    }).filter("side > 0")
+    out = seen.groupBy("case_id", "interval").agg(
+        *[F.max(F.when(F.col("side") == side, F.col(c))).alias(c) for c, side in (("before", 1), ("after", 2), ("moving", 1))]
+    ).select("case_id", "interval.*", "before", "after", "moving")
     own = F.col("before.speed_kmh") >= MOVING_KMH
     recent = F.col("before.start_time_sec") - F.col("moving.start_time_sec") <= LOOKBACK_SEC
     return out.withColumn("v_ref", F.when(own, F.col("before.speed_kmh")).when(recent, F.col("moving.speed_kmh")).otherwise(0.0))
@@ -162,6 +173,7 @@ def judge(around: DataFrame, interpolate: bool = True) -> DataFrame:
 
 def synthetic_rows(points: DataFrame, found: DataFrame, interpolate: bool = True, budget: int = MAX_PLACEHOLDERS) -> DataFrame:
     """Rows for the lost seconds: on the line between the fixes, or empty; ``budget`` rows per case in interval order."""
+    found = checkpointed(found)
     judged = judge(fixes_around(points, found), interpolate)
     rows = free_seconds(points, found).select("case_id", "start_sec", "end_sec", F.col("t").cast("double").alias("t"))
     met = rows.join(judged, ["case_id", "start_sec", "end_sec"])
@@ -179,10 +191,13 @@ def synthetic_rows(points: DataFrame, found: DataFrame, interpolate: bool = True
     )
 
 
-def apply_marks(points: DataFrame, found: DataFrame, interpolate: bool = True) -> DataFrame:
-    """Real rows and synthetic rows in one track, numbered anew by time."""
-    extra = synthetic_rows(points, found, interpolate)
-    real = points.filter(~P.is_synthetic())
-    both = real.unionByName(extra, allowMissingColumns=True)
+def in_one_track(real: DataFrame, made: DataFrame) -> DataFrame:
+    """Real rows and rows made for lost seconds, numbered anew by time."""
+    both = real.unionByName(made, allowMissingColumns=True)
     w = Window.partitionBy("case_id").orderBy(F.col("start_time_sec").isNull(), "start_time_sec", P.is_synthetic(), "row_idx")
     return both.withColumn("row_idx", F.row_number().over(w).cast("long") - 1)
+
+
+def apply_marks(points: DataFrame, found: DataFrame, interpolate: bool = True) -> DataFrame:
+    """Real rows and synthetic rows in one track."""
+    return in_one_track(points.filter(~P.is_synthetic()), synthetic_rows(points, found, interpolate))

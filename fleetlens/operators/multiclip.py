@@ -181,7 +181,7 @@ def run_sequence(points: DataFrame, slots: DataFrame, durations: DataFrame, stat
     marked = checkpointed(outliers.mark_outliers(own))
     before = Window.partitionBy("job_id").orderBy("slot_no").rowsBetween(Window.unboundedPreceding, -1)
     counts = marked.groupBy("clip_id").agg(
-        F.count("*").alias("n_rows"), F.count_if(P.has_fix()).alias("n_fixes"), F.count_if("is_outlier").alias("n_outliers"), F.min("row_idx").alias("_base")
+        F.count("*").alias("n_rows"), F.count_if(P.has_fix() & ~P.is_synthetic()).alias("n_fixes"), F.count_if("is_outlier").alias("n_outliers"), F.min("row_idx").alias("_base")
     )
     records = chosen.join(spans(marked, durations), "clip_id", "left").join(counts, "clip_id", "left").fillna(0, ["n_rows", "n_fixes", "n_outliers"])
     records = records.withColumn("span", F.coalesce("span", F.lit(0.0)))

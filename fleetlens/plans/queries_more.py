@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..operators import report as R
 from ..operators import sequence as S
 from ..operators.times import estimate_times
 from ..sources import rows as SR
+from ..sources.shared import shared_path
 from .adapter import ORACLE_CTE, track_points
 from .queries_track import EVENTS, SLOTS
 
@@ -33,17 +32,10 @@ def query(sql: str | None = None, table: str | None = None):
     return add
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT case_id, start_time_sec, latitude, longitude, speed_kmh, gps_date, gps_utc_time, gps_checksum_ok, gps_trusted, coalesce(gps_status, '') AS gps_status, source_offset, recovery_state FROM tp")
 def src_timeline_csv(p: DataFrame) -> DataFrame:
     """The track written under the CSV contract and read back (also snk_carved_timeline)."""
-    path = _shared(p.sparkSession, "timeline")
+    path = shared_path(p.sparkSession, "timeline")
     SR.write_timeline(p, path)
     out = SR.load_timeline(p.sparkSession, path)
     return out.select(
@@ -103,12 +95,6 @@ def agg_slack_summary(p: DataFrame) -> DataFrame:
     return out.groupBy("case_id").agg(F.count("*").alias("n_rows"), F.count_distinct("segment").alias("recordings"), F.array_sort(F.collect_set("d")).alias("dates"))
 
 
-@query()
-def win_time_estimate(p: DataFrame) -> DataFrame:
-    bare = p.withColumn("start_time_sec", F.lit(None).cast("double")).withColumn("end_time_sec", F.lit(None).cast("double"))
-    return estimate_times(bare).select("case_id", "row_idx", "start_time_sec", "time_source", "excluded")
-
-
 @query("""u0 AS (SELECT case_id, row_idx, gps_date, gps_utc_time FROM pt WHERE gps_utc_time IS NOT NULL)
 SELECT case_id, row_idx, CAST(DATE '2024-06-18' - DATE '1970-01-01' AS DOUBLE) * 86400e0 + CAST(substr(gps_utc_time, 1, 2) AS DOUBLE) * 3600 + CAST(substr(gps_utc_time, 3, 2) AS DOUBLE) * 60 + CAST(substr(gps_utc_time, 5) AS DOUBLE) AS utc_key FROM u0""")
 def win_utc_keys(p: DataFrame) -> DataFrame:

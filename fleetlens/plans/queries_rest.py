@@ -14,6 +14,7 @@ from ..operators import outliers as X
 from ..operators import recordings as RC
 from ..operators import sequence as S
 from ..sources import rows as SR
+from ..sources.shared import shared_path
 from . import queries_damage as QD
 from . import queries_more as QM
 from .queries_track import HAV
@@ -40,7 +41,7 @@ def query(sql: str | None = None, table: str | None = None):
  CASE WHEN gps_status = 'V' THEN false ELSE gps_trusted END AS gps_trusted FROM tp""")
 def src_coordinates_csv(p: DataFrame) -> DataFrame:
     """coordinates.csv: other names for some columns, and a status that overrules trust."""
-    path = QM._shared(p.sparkSession, "coordinates")
+    path = shared_path(p.sparkSession, "coordinates")
     out = p.select(
         "case_id", "start_time_sec", "end_time_sec", "time_source", "latitude", "longitude", "speed_kmh", "track_deg", F.col("gps_date").alias("date"), F.col("gps_utc_time").alias("utc_time"),
         F.col("gps_checksum_ok").alias("checksum_ok"), (F.col("gps_status") != "V").alias("status_valid"), F.col("gps_trusted").alias("trusted"), F.col("gps_status").alias("status"),
@@ -54,7 +55,7 @@ def src_coordinates_csv(p: DataFrame) -> DataFrame:
 @query("SELECT case_id, row_idx, min(time_source) OVER (PARTITION BY case_id) AS time_source, start_time_sec FROM tp")
 def src_load_existing(p: DataFrame) -> DataFrame:
     """A stored timeline as a track again: order by time, and the first time source that is given."""
-    path = QM._shared(p.sparkSession, "existing")
+    path = shared_path(p.sparkSession, "existing")
     SR.write_timeline(p, path)
     track = RC.stored_track(SR.load_timeline(p.sparkSession, path))
     return track.select(F.col("case_id").cast("long").alias("case_id"), "row_idx", "time_source", "start_time_sec")
@@ -245,12 +246,6 @@ def op_slot_start_text(p: DataFrame) -> DataFrame:
     return began.select("case_id", "segment_index", RC.slot_start_text(basis, F.col("began")).alias("text"))
 
 
-@query()
-def op_run_analysis(p: DataFrame) -> DataFrame:
-    """A recording from rows to findings: times, outliers, damage, events, and what a report says of them."""
-    return RC.analyse(p, QD.regions(p), QD.durations(p))
-
-
 def queries() -> dict:
     return Q
 
