@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import SYNTHETIC_STATES
+from .strings import strip
 
 
 def not_false(name: str) -> Column:
@@ -18,7 +19,7 @@ def finite(name: str) -> Column:
 
 
 def filled(name: str) -> Column:
-    return F.coalesce(F.trim(F.col(name)), F.lit("")) != ""
+    return F.coalesce(strip(F.col(name)), F.lit("")) != ""
 
 
 def has_coords() -> Column:
@@ -61,7 +62,7 @@ def coords_valid() -> Column:
 
 
 def is_time_anchor() -> Column:
-    status = F.upper(F.trim(F.coalesce("gps_status", F.lit(""))))
+    status = F.upper(strip(F.coalesce("gps_status", F.lit(""))))
     return not_false("gps_checksum_ok") & not_false("gps_trusted") & status.isin("", "A")
 
 
@@ -77,8 +78,8 @@ def record_key() -> Column:
         return F.struct(F.lit(kind).alias("kind"), s1.alias("s1"), s2.alias("s2"), d1.alias("d1"), d2.alias("d2"), d3.alias("d3"))
 
     return (
-        F.when(filled("gps_utc_time"), key("utc", F.coalesce("gps_date", F.lit("")), F.trim("gps_utc_time")))
-        .when(filled("gps_abs_time"), key("abs", F.trim("gps_abs_time")))
+        F.when(filled("gps_utc_time"), key("utc", F.coalesce("gps_date", F.lit("")), strip("gps_utc_time")))
+        .when(filled("gps_abs_time"), key("abs", strip("gps_abs_time")))
         .when(F.col("gps_elapsed").isNotNull(), key("elapsed", d1=F.col("gps_elapsed")))
         .otherwise(key("val", d1=F.col("latitude"), d2=F.col("longitude"), d3=F.col("speed_kmh")))
     )

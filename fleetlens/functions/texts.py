@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strings import strip
+
 #: Endings of front recordings' names and what rear ones have instead, likeliest first.
 REAR_RULES = (
     (r"(?i)([_\-])F([_\-]\d+)$", ("$1R$2",)),
@@ -68,7 +70,7 @@ def map_url(lat: Column, lon: Column) -> Column:
 
 def parse_offset(c: Column) -> Column:
     """Byte position from ``0x...`` or a number."""
-    t = F.trim(c)
+    t = strip(c)
     return F.when(F.lower(t).startswith("0x"), F.conv(F.substring(t, 3, 40), 16, 10).try_cast("long")).otherwise(F.floor(t.try_cast("double")).cast("long"))
 
 
@@ -88,6 +90,57 @@ def duration_parts(seconds: Column) -> Column:
     return F.concat_ws(":", F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lpad(F.floor(s % 3600 / 60).cast("string"), 2, "0"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def clock_text(seconds: Column) -> Column:
+    """Rounded to seconds: ``mm:ss``, with hours from one on."""
+    t = F.rint(seconds).cast("long")
+    h, short = F.floor(t / 3600), F.concat(_two(F.floor(t % 3600 / 60)), F.lit(":"), _two(t % 60))
+    return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), short)).otherwise(short)
+
+
+def minutes_text(seconds: Column) -> Column:
+    """``m min ss s``, without minutes below one."""
+    t = F.rint(seconds).cast("long")
+    m = F.floor(t / 60)
+    return F.when(m > 0, F.concat(m.cast("string"), F.lit(" min "), _two(t % 60), F.lit(" s"))).otherwise(F.concat((t % 60).cast("string"), F.lit(" s")))
+
+
+def gap_text(seconds: Column) -> Column:
+    """A pause in the largest unit that fits: seconds below two minutes, minutes below two hours, hours below two days."""
+    s = F.abs(seconds)
+    return (
+        F.when(s < 120, F.format_string("%.1f s", s)).when(s < 7200, F.format_string("%.0f min", F.rint(s / 60))).when(s < 172_800, F.format_string("%.1f h", s / 3600))
+        .otherwise(F.format_string("%.0f d", F.rint(s / 86_400)))
+    )
+
+
+def offset_text(seconds: Column) -> Column:
+    """How far two starts lie apart: seconds below two minutes, hours and minutes below a day, else days."""
+    s = F.abs(seconds)
+    t = F.rint(s).cast("long")
+    h, m = F.floor(t / 3600), F.floor(t % 3600 / 60)
+    long = F.when(h > 0, F.concat(h.cast("string"), F.lit(" h "), m.cast("string"), F.lit(" min"))).otherwise(F.concat(m.cast("string"), F.lit(" min")))
+    return F.when(s < 120, F.format_string("%.0f s", F.rint(s))).when(s < 86_400, long).otherwise(F.format_string("%.0f d", F.rint(s / 86_400)))
+
+
+def epoch_text(seconds: Column) -> Column:
+    """Seconds since 1970, negative ones too, as UTC."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def tick_text(seconds: Column) -> Column:
+    """A mark of a time axis: seconds, minutes, hours, and days from two on."""
+    t = F.rint(seconds).cast("long")
+    s, m, h = t % 60, F.floor(t / 60), F.floor(t / 3600)
+    days = F.concat(F.floor(h / 24).cast("string"), F.lit("d "), _two(h % 24), F.lit(":"), _two(m % 60))
+    hours = F.concat(h.cast("string"), F.lit(":"), _two(m % 60), F.lit(":"), _two(s))
+    return F.when(t < 60, F.concat(t.cast("string"), F.lit("s"))).when(m < 60, F.concat(m.cast("string"), F.lit(":"), _two(s))).when(h < 48, hours).otherwise(days)
+
+
 #: Steps of long time axes, in seconds.
 TICK_STEPS = (20, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 14400, 43200, 86400, 172800, 604800)
 

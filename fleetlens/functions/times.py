@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strings import strip
+
 DAY = 86_400
 
 
 def parse_date(c: Column) -> Column:
     """``yyyy-mm-dd`` or ``ddmmyy`` (80 and later are 19yy)."""
-    t = F.trim(c)
+    t = strip(c)
     year = F.substring(t, 5, 2).try_cast("int")
     full = F.concat(F.when(year >= 80, "19").otherwise("20"), F.substring(t, 5, 2), F.lit("-"), F.substring(t, 3, 2), F.lit("-"), F.substring(t, 1, 2))
     return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date")).when(t.rlike(r"^\d{6}$"), full.try_cast("date"))
@@ -23,7 +25,7 @@ def parse_date(c: Column) -> Column:
 
 def parse_time(c: Column) -> Column:
     """Seconds of the day of ``h:mm:ss[.f]`` or ``hhmmss[.f]``, without the fraction."""
-    t = F.trim(c)
+    t = strip(c)
     plain = t.rlike(r"^\d{6}(\.\d+)?$")
     pattern = r"^(\d{1,2}):(\d{2}):(\d{2})(?:\.\d+)?$"
     h, m, s = (F.when(plain, F.substring(t, 2 * i + 1, 2)).otherwise(F.nullif(F.regexp_extract(t, pattern, i + 1), F.lit(""))).try_cast("int") for i in range(3))
@@ -32,7 +34,7 @@ def parse_time(c: Column) -> Column:
 
 def utc_seconds(c: Column) -> Column:
     """Seconds of the day with fraction, below a day and a minute."""
-    d = F.replace(F.trim(c), F.lit(":"), F.lit(""))
+    d = F.replace(strip(c), F.lit(":"), F.lit(""))
     rest = F.substring(d, 5, 100)
     value = F.substring(d, 1, 2).try_cast("int") * 3600 + F.substring(d, 3, 2).try_cast("int") * 60 + F.when(rest == "", F.lit(0.0)).otherwise(rest.try_cast("double"))
     return F.when((value >= 0) & (value < DAY + 60), value.cast("double"))
@@ -40,13 +42,13 @@ def utc_seconds(c: Column) -> Column:
 
 def date_days(c: Column) -> Column:
     """Days since 1970-01-01."""
-    t = F.trim(c)
+    t = strip(c)
     return F.datediff(parse_date(F.when(F.length(t) == 6, t).otherwise(F.substring(t, 1, 10))), F.lit("1970-01-01").cast("date"))
 
 
 def abs_time_seconds(c: Column) -> Column:
     """Seconds of a device's local time text; only differences of these mean anything."""
-    t = F.trim(c)
+    t = strip(c)
     ok = t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?|T\d{1,2}:\d{1,2}:\d{1,2})$")
     whole = F.try_to_timestamp(F.replace(F.regexp_replace(t, r"\.\d+$", ""), F.lit("T"), F.lit(" ")), F.lit("y-M-d H:m:s"))
     part = F.coalesce(F.nullif(F.regexp_extract(t, r"(\.\d+)$", 1), F.lit("")).try_cast("double"), F.lit(0.0))
@@ -91,6 +93,6 @@ def mp4_epoch(seconds_since_1904: Column) -> Column:
 def format_local_iso(c: Column) -> Column:
     """An ISO date and time, in the session's zone if it names none, as display time; what cannot be read stays, and nothing is '-'."""
     iso = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
-    t = F.trim(c)
+    t = strip(c)
     shown = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("+09:00"), F.when(t.rlike(iso), t.try_cast("timestamp")).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
     return F.coalesce(F.concat(shown, F.lit(" (UTC+9)")), F.nullif(c, F.lit("")), F.lit("-"))

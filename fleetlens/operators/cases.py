@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import strip
+
 #: Statuses from worst to best.
 STATUS_ORDER = ("timed_out", "engine_failed", "unsupported", "gps_untrusted", "no_gps", "unknown")
 MAX_DURATION_SEC = 7 * 86_400
@@ -52,14 +54,14 @@ def plausible_duration(d: Column) -> Column:
 
 def failure_lines(lines: DataFrame) -> DataFrame:
     """First line of each run that reports a failure; lines(run_id, line_no, line)."""
-    text = F.trim("line")
+    text = strip("line")
     found = lines.filter(text.rlike("|".join(f"(?:{p})" for p in FAILURE_LINES)))
     return found.groupBy("run_id").agg(F.min_by(F.substring(text, 1, 300), "line_no").alias("failure_line"))
 
 
 def warnings_shown(lines: DataFrame, most: int = 300, width: int = 500) -> DataFrame:
     """The first ``most`` non-blank lines of a run, cut to ``width``, and how many more there are."""
-    rows = lines.filter(F.trim("line") != "").withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("line_no")))
+    rows = lines.filter(strip("line") != "").withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("line_no")))
     shown = rows.filter(F.col("n") <= most).select("run_id", "n", F.substring("line", 1, width).alias("line"))
     more = rows.groupBy("run_id").agg((F.count("*") - most).alias("k")).filter("k > 0")
     return shown.unionByName(more.select("run_id", F.lit(most + 1).alias("n"), F.concat(F.lit("+"), F.col("k").cast("string"), F.lit(" more")).alias("line")))

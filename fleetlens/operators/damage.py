@@ -69,6 +69,29 @@ def region_kinds(merged: DataFrame, regions: DataFrame) -> DataFrame:
     return kinds.groupBy("case_id", "a", "b").agg(F.when(F.count("_g") > 0, "gap").otherwise("zero").alias("kind"))
 
 
+def merged_kinds(regions: DataFrame) -> DataFrame:
+    """Damaged regions put together, a gap if any part of one is, in one pass."""
+    w = Window.partitionBy("case_id").orderBy("a", "b")
+    apart = F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = regions.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kind = F.when(F.bool_or(F.col("kind") == "gap"), "gap").otherwise("zero")
+    return rows.groupBy("case_id", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"), kind.alias("kind")).drop("_run")
+
+
+def overlapped(steps: DataFrame, merged: DataFrame) -> DataFrame:
+    """Steps [lo, hi) of a file that damage lies in, with the ``kind`` of the last region in them.
+
+    Merged regions lie apart, so the last one that begins before ``hi`` reaches furthest: one order of both, no range join.
+    """
+    regions = merged.select("case_id", F.col("a").alias("_at"), F.struct("b", "kind").alias("_region"))
+    both = steps.withColumn("_at", F.col("hi")).withColumn("_step", F.lit(0)).unionByName(regions.withColumn("_step", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy("case_id").orderBy("_at", "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_last", F.last("_region", ignorenulls=True).over(w)).filter("_step = 0")
+    found = met.filter(F.col("_last.b") > F.col("lo")).withColumn("kind", F.col("_last.kind"))
+    return found.drop("_at", "_step", "_region", "_last")
+
+
 def on_line(v0, v1, t0, t1, t):
     """Value at a time on the line between two."""
     return v0 + (v1 - v0) * ((t - t0) / (t1 - t0))
@@ -83,16 +106,13 @@ def intervals(points: DataFrame, regions: DataFrame, durations: DataFrame | None
     real = checkpointed(real_timed(points).select("case_id", "row_idx", "source_offset", "start_time_sec"))
     anchors = real.filter(F.col("source_offset").isNotNull())
     spacing = spacing_of(real)
-    merged = checkpointed(region_kinds(merge_regions(regions.select("case_id", "a", "b")), regions))
+    merged = checkpointed(merged_kinds(regions))
     by_offset = Window.partitionBy("case_id").orderBy("source_offset")
     steps = anchors.select(
         "case_id", F.col("source_offset").alias("lo"), F.lead("source_offset").over(by_offset).alias("hi"), F.col("start_time_sec").alias("t0"), F.lead("start_time_sec").over(by_offset).alias("t1"),
     ).join(spacing, "case_id").withColumn("threshold", F.col("nominal") * RECORD_GAP_FACTOR + 1e-6)
     long = steps.filter(F.col("t1") > F.col("t0") + F.col("threshold"))
-    r = merged.select(F.col("case_id").alias("_c"), "a", "b", "kind")
-    # The last region that starts before hi counts, if it reaches past lo.
-    met = long.join(r, (F.col("case_id") == F.col("_c")) & (F.col("a") < F.col("hi")) & (F.col("b") > F.col("lo")))
-    found = met.groupBy("case_id", "lo", "t0", "t1").agg(F.max_by("kind", "a").alias("kind"))
+    found = overlapped(long, merged)
     out = found.select("case_id", F.round("t0", 3).alias("start_sec"), F.round("t1", 3).alias("end_sec"), "kind")
     ends = anchors.groupBy("case_id").agg(
         F.min_by(F.struct("source_offset", "start_time_sec"), "source_offset").alias("first"), F.max_by(F.struct("source_offset", "start_time_sec"), "source_offset").alias("last")

@@ -109,6 +109,17 @@ def event_colors(events: DataFrame, vehicle: str = "car") -> DataFrame:
     return rows.groupBy("case_id", "row_idx").agg(F.min_by("kind", event_rank("kind")).alias("kind"))
 
 
+#: Colours of the kinds on maps and charts.
+COLORS = {"accel": "#e67e22", "start": "#f1c40f", "decel": "#c0392b", "stop": "#8e44ad"}
+
+
+def described(events: DataFrame) -> DataFrame:
+    """Events with a colour and a line of text: the change in a second, the speeds at both ends, and the rows from 1."""
+    colors = F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair])
+    detail = F.format_string("%+.1f km/h/s, %.1f to %.1f km/h, rows %d-%d", F.rint(F.col("peak") * 10) / 10, "v_start", "v_end", F.col("start_index") + 1, F.col("end_index") + 1)
+    return events.withColumns({"color": colors[F.col("kind")], "detail": detail})
+
+
 def event_markers(points: DataFrame, events: DataFrame, vehicle: str = "car") -> DataFrame:
     """The middle fix of every event, where its marker stands."""
     from ..functions import predicates as P

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import strip
+
 #: Columns of a case and what stands for a missing one; those with a JSON kind hold documents.
 TEXTS = ("case_number", "examiner", "memo", "output_folder", "rear_video_filename", "track_mode", "analysis_status", "manifest_sha256")
 DOCUMENTS = {"settings": "OBJECT", "segments": "ARRAY", "damage": "OBJECT"}
@@ -20,7 +22,7 @@ CHANGE = "case_id bigint, version bigint, change string, fields map<string,strin
 
 def document(text: Column, kind: str, empty: str | None) -> Column:
     """JSON text of the right kind, rewritten; ``empty`` where it is missing, damaged or of another kind."""
-    parsed = F.try_parse_json(F.nullif(F.trim(text), F.lit("")))
+    parsed = F.try_parse_json(F.nullif(strip(text), F.lit("")))
     right = F.schema_of_variant(parsed).startswith(kind)
     good = F.when(right, F.to_json(parsed))
     if empty is None:

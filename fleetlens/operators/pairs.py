@@ -42,6 +42,24 @@ def compare_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", problems.alias("problems")).withColumn("ok", F.size("problems") == 0)
 
 
+def compare_in_full(quick: DataFrame, extracted: DataFrame, by_gps: DataFrame) -> DataFrame:
+    """(pair_id, problems, code): files first, then how both extractions ended, then their GPS records.
+
+    quick(pair_id, problems), extracted(pair_id, side, status, damaged), by_gps(pair_id, verdict). A step is only
+    asked where the ones before it found nothing; a side that only has untrusted or no GPS can be compared.
+    """
+    fine = F.col("status").isin("ok", "no_gps", "gps_untrusted")
+    failed = F.when(~fine, F.concat_ws(":", "side", F.when(F.col("damaged"), "damaged").otherwise(F.lit("engine_failed"))))
+    ends = extracted.groupBy("pair_id").agg(F.array_sort(F.collect_list(failed)).alias("_ends"), F.bool_or(~fine & F.col("damaged")).alias("_damaged"))
+    rows = quick.select("pair_id", "problems").join(ends, "pair_id", "left").join(by_gps.select("pair_id", "verdict"), "pair_id", "left")
+    gps = F.when(F.col("verdict") != "ok", F.col("verdict"))
+    none = F.array().cast("array<string>")
+    ends_ = F.coalesce("_ends", none)
+    problems = F.when(F.size("problems") > 0, F.col("problems")).when(F.size(ends_) > 0, ends_).otherwise(F.array_compact(F.array(gps)))
+    code = F.when((F.size("problems") == 0) & (F.size(ends_) > 0), F.when(F.col("_damaged"), "damaged").otherwise("engine_failed")).otherwise("")
+    return rows.select("pair_id", problems.alias("problems"), code.alias("code"))
+
+
 def choose_basis(clips: DataFrame) -> DataFrame:
     """Per case the clock that every clip has: gps, else filename, else none; and the start of each clip by it."""
     by = clips.groupBy("case_id").agg(F.bool_and(F.col("gps_start").isNotNull()).alias("g"), F.bool_and(F.col("name_start").isNotNull()).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import times as T
+from ..functions.strings import strip
 from ..sources.shared import checkpointed
 from . import damage, events, outliers
 from .sequence import with_row_idx
@@ -51,7 +52,7 @@ def recording_cut(points: DataFrame, gaps: DataFrame) -> DataFrame:
     sides a stretch of zeros is taken as the same recording, any other ends it.
     """
     utc = T.date_days(F.col("gps_date")) * T.DAY + T.parse_time(F.col("gps_utc_time"))
-    sure = P.not_false("gps_checksum_ok") & P.not_false("gps_trusted") & (F.upper(F.trim("gps_status")) == "A") & ~P.is_synthetic()
+    sure = P.not_false("gps_checksum_ok") & P.not_false("gps_trusted") & (F.upper(strip("gps_status")) == "A") & ~P.is_synthetic()
     anchors = points.filter(sure & utc.isNotNull()).select("case_id", F.col("source_offset").alias("at"), F.struct("source_offset", utc.alias("utc")).alias("anchor"))
     # Gaps stand among the anchors at both of their ends, so the nearest ones are the last and the next in order.
     starts = gaps.select("case_id", F.col("a").alias("at"), F.struct("a", "b", "kind").alias("gap"), F.lit(0).alias("side"))

@@ -222,19 +222,6 @@ def op_damage_summary(p: DataFrame) -> DataFrame:
     return RC.damage_summary(p.select("case_id").distinct(), merged)
 
 
-def op_criteria_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What counts as dangerous driving, line by line for each class of vehicles."""
-    return spark.createDataFrame(E.criteria_lines(), "vehicle string, line_no int, text string")
-
-
-Q["op_criteria_text"] = op_criteria_text
-O["op_criteria_text"] = """WITH c(vehicle, a1, a2, a3, st, d1, d2, d3, sp) AS (VALUES ('car', 12, 10, 8, 10, 14, 15, 15, 14), ('bus', 8, 7, 6, 8, 9, 10, 12, 9), ('truck', 7, 6, 5, 6, 8, 8, 8, 8))
-SELECT vehicle, 1 AS line_no, 'accel: from 6-10 km/h by ' || a1 || ', from 10-20 by ' || a2 || ', from over 20 by ' || a3 || ' km/h in a second' AS text FROM c
-UNION ALL SELECT vehicle, 2, 'start: from up to 5 km/h by ' || st || ' km/h in a second' FROM c
-UNION ALL SELECT vehicle, 3, 'decel: from up to 30 km/h by ' || d1 || ', up to 50 by ' || d2 || ', over 50 by ' || d3 || ' km/h in a second, and still 6 km/h' FROM c
-UNION ALL SELECT vehicle, 4, 'stop: by ' || sp || ' km/h in a second to 5 km/h or less' FROM c"""
-
-
 @query("""SELECT case_id, segment_index, CASE WHEN case_id % 2 = 1 THEN strftime(m - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || ' (file name)' WHEN m IS NOT NULL THEN strftime(m, '%Y-%m-%d %H:%M:%S') ELSE '' END AS text FROM (
  SELECT case_id, segment_index, min(CAST(gps_date AS TIMESTAMP) + to_seconds(CAST(substr(gps_utc_time, 3, 2) AS INTEGER) * 60 + CAST(substr(gps_utc_time, 5, 2) AS INTEGER))) + INTERVAL 9 HOUR AS m
  FROM pt WHERE gps_date IS NOT NULL GROUP BY case_id, segment_index)""")

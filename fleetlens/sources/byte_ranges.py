@@ -24,12 +24,16 @@ RANGE_BYTES = 4 << 20
 #: No sentence is longer.
 SENTENCE_BYTES = 256
 ZERO_BLOCK, ZERO_RUN = 1 << 16, 1 << 18
+#: What opening a file counts as.
+OPEN_BYTES = 1 << 20
 SCHEMA = "path string, at long, length long, file_size long, content binary"
 
 
-class Stretch(InputPartition):
-    def __init__(self, path: str, begin: int, end: int, size: int):
-        self.path, self.begin, self.end, self.size = path, begin, end, size
+class Stretches(InputPartition):
+    """What one task reads: (path, begin, end, size of the file) of parts of large files or of several small ones."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
 
 
 def _opened(path: str):
@@ -63,21 +67,31 @@ class RangeReader(DataSourceReader):
         store, root = _opened(self.path)
         info = store.get_file_info(root)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        out: list[InputPartition] = []
+        parts = []
         for f in files:
             if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")):
-                out += [Stretch(f.path, a, min(f.size, a + self.task), f.size) for a in range(0, f.size, self.task)]
-        return out
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+                parts += [(f.path, a, min(f.size, a + self.task), f.size) for a in range(0, f.size, self.task)]
+        tasks: list[InputPartition] = []
+        room = 0
+        for part in parts:
+            length = part[2] - part[1]
+            if not tasks or length > room:
+                tasks.append(Stretches([]))
+                room = self.task
+            tasks[-1].parts.append(part)
+            room -= length + OPEN_BYTES
+        return tasks
+
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
         store, _ = _opened(self.path)
-        with store.open_input_file(partition.path) as f:
-            for at in range(partition.begin, partition.end, self.range):
-                length = min(self.range, partition.end - at)
-                content = f.read_at(min(length + self.overlap, partition.size - at), at)
-                columns = [[partition.path], [at], [length], [partition.size], [content]]
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "at", "length", "file_size", "content"])
+        for path, begin, end, size in partition.parts:
+            with store.open_input_file(path) as f:
+                for at in range(begin, end, self.range):
+                    length = min(self.range, end - at)
+                    content = f.read_at(min(length + self.overlap, size - at), at)
+                    columns = [[path], [at], [length], [size], [content]]
+                    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "at", "length", "file_size", "content"])
 
 
 def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, overlap: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import predicates as P
+from ..functions.strings import strip
 from ..functions.texts import parse_offset
 from ..operators.sequence import forward_fill, with_row_idx
 from ..schema import TRACK_FIELDS
@@ -17,12 +18,12 @@ COORDINATES = {"gps_abs_time": "abs_time", "gps_elapsed": "elapsed_delta_sec", "
 
 
 def to_double(c: Column) -> Column:
-    v = F.trim(c).try_cast("double")
+    v = strip(c).try_cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
 def to_boolean(c: Column) -> Column:
-    t = F.lower(F.trim(c))
+    t = F.lower(strip(c))
     return F.when(t.isin("true", "1", "yes"), True).when(t.isin("false", "0", "no"), False)
 
 
@@ -100,7 +101,7 @@ def pending_tracks(table: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def out_of_range(index: DataFrame) -> DataFrame:
-    return index.agg(F.count_if(F.upper(F.trim("validation")) == "OUT_OF_RANGE").alias("n"))
+    return index.agg(F.count_if(F.upper(strip("validation")) == "OUT_OF_RANGE").alias("n"))
 
 
 def max_end(rows: DataFrame) -> DataFrame:

@@ -80,3 +80,12 @@ def test_stream_of_recordings(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["n_rows"] for r in spark.table("recs").collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("white", [" ", "\t", "\n", "\r\n", "\x0b\x0c", "\x1c", "\x85", "\xa0", " ", "　"])
+def test_white_space_around_texts(spark, white):
+    row = spark.createDataFrame([(f"{white}082217{white}", f"{white}180624{white}")], "t string, d string").select(
+        times.utc_seconds(F.col("t")).alias("u"), times.parse_time(F.col("t")).alias("p"), times.date_days(F.col("d")).alias("d")
+    )
+    got = row.first()
+    assert got["u"] == 30137.0 and got["p"] is not None and got["d"] is not None
