@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -148,15 +149,15 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.predict(t) for t in b["text"]]
-            out = pd.DataFrame(found, columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out
+            found = [m.predict(t) for t in b.column(1).to_pylist()]
+            columns = [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return ids.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def languages(docs: DataFrame) -> DataFrame:

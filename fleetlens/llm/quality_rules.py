@@ -11,7 +11,10 @@ Line rules, first match names the reason:
 
 A text is rejected where its failing lines hold more than ``max_lost`` percent
 of the characters in words. Null and empty texts have no words and fail the
-base rule. Every text is read whole; memory is bounded by one Arrow batch.
+base rule. Every text is read whole; memory is bounded by one Arrow batch. Each row is
+judged on its own, so equal rows get equal answers, and ids pass through untouched,
+whether they are null, large or repeated. An empty table gives an empty table. Only
+``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN
 
@@ -131,17 +135,17 @@ def clean_lines(docs: DataFrame, max_lost: int = MAX_LOST, with_text: bool = Tru
 
     Rows never move: the rules are local to a document, so there is no shuffle.
     """
-    names = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
     schema = SCHEMA if with_text else SCHEMA.removesuffix(", clean_text string")
+    fields = [x.strip().split(" ") for x in schema.split(",")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *(r if with_text else r[:-1])) for i, r in zip(b["doc_id"], (assess(t, max_lost) for t in b["text"]), strict=True)]
-            out = pd.DataFrame(rows, columns=names if with_text else names[:-1])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            judged = [assess(t, max_lost) for t in b.column(1).to_pylist()]
+            columns = [pa.array([r[k] for r in judged], kinds[kind]) for k, (_, kind) in enumerate(fields[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [name for name, _ in fields])
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 #: The same measures for DuckDB, from sets of lines and windows.

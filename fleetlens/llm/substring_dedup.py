@@ -21,8 +21,15 @@ anchors, the *context* of an anchor being all bytes of the windows around it.
    grouped with partial aggregation.
 
 Spans are judged on the input and cut at the end, one document at a time. Null
-texts are empty. doc_id orders the documents; a row that repeats another one's
-doc_id and text is the same document, and gets the same answer.
+texts are empty. doc_id orders the documents, null after all others; a row that repeats another one's
+doc_id and text is the same document, and gets the same answer. Rows of one id
+with other texts are documents of their own: they are numbered anew, in the order of
+id and row, before anything is compared. An empty table gives an empty table; texts may
+be of any length (they are hashed in pieces); only ``doc_id`` and ``text`` are read,
+so other columns may have any name.
+
+Contexts are taken for equal if two independent 64-bit hashes agree, that of the anchor and that of
+the context; windows of hot anchors likewise. What suffix arrays compare they compare by bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ROW, row_keyed, stored, with_running_sums
 from .suffix_grouping import suffix_array
 
 LENGTH = 100
@@ -293,7 +300,7 @@ def _solve_hot(groups: DataFrame) -> DataFrame:
                     start.append(s + pos - left)
                 row = np.concatenate(row)
                 yield pd.DataFrame({
-                    "wh": np.concatenate(hashes).view(np.int64), "doc_id": part["doc_id"].to_numpy()[row], "pos": part["pos"].to_numpy()[row], "start": np.concatenate(start),
+                    "ah": part["ah"].to_numpy()[row], "wh": np.concatenate(hashes).view(np.int64), "doc_id": part["doc_id"].to_numpy()[row], "pos": part["pos"].to_numpy()[row], "start": np.concatenate(start),
                 })
 
     import xxhash
@@ -304,9 +311,9 @@ def _solve_hot(groups: DataFrame) -> DataFrame:
     keyed = groups.mapInPandas(sides, "ah long, doc_id long, pos int, side int, sub long").filter("sub <> 0")
     shared = keyed.groupBy("ah", "side", "sub").agg(F.count("*").alias("n")).filter("n > 1").select("ah", "side", "sub")
     wanted = keyed.join(shared, ["ah", "side", "sub"]).select("doc_id", "pos").distinct()
-    cut = groups.join(wanted, ["doc_id", "pos"], "left_semi").mapInPandas(windows, "wh long, doc_id long, pos int, start long")
-    first = cut.groupBy("wh").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = cut.join(first, "wh").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    cut = groups.join(wanted, ["doc_id", "pos"], "left_semi").mapInPandas(windows, "ah long, wh long, doc_id long, pos int, start long")
+    first = cut.groupBy("ah", "wh").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = cut.join(first, ["ah", "wh"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     return later.groupBy("doc_id", "pos").agg(F.min("start").alias("a"), (F.max("start") + LENGTH).alias("b")).select("doc_id", "a", "b")
 
 
@@ -338,8 +345,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = anchors(docs)
     often = found.groupBy("ah").count().filter("count > 1").select("ah")
     kept = stored(found.join(often, "ah"), "anchors")
-    first = kept.groupBy("ch").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
-    again = kept.join(first.filter("n > 1"), "ch").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
+    first = kept.groupBy("ah", "ch").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
+    again = kept.join(first.filter("n > 1"), ["ah", "ch"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     whole = again.select("doc_id", F.greatest(F.lit(0), F.col("pos") - SIDE).cast("long").alias("a"), (F.col("pos") + F.col("r")).cast("long").alias("b"))
     firsts = kept.groupBy("ah", "ch").agg(F.min(F.struct("doc_id", "pos", "r")).alias("f"))
     sizes = firsts.groupBy("ah").count().filter("count > 1").select("ah", (F.col("count") > hot).alias("hot"))
@@ -369,6 +376,22 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_text: bool = False) ->
 
     A run may cut a character in two; the text then has U+FFFD for its parts.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return _cut(rows, hot, with_text)
+    keyed = row_keyed(rows).withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = keyed.groupBy("doc_id", "_hash").agg(F.min(ROW).alias("_first"))
+    ordered = same.withColumn("_null", F.col("doc_id").isNull())
+    numbered = stored(with_running_sums(ordered, ["_null", "doc_id", "_first"], {"_no": F.lit(1)}), "numbers")
+    own = keyed.join(numbered.select(F.col("_first").alias(ROW), "_no"), ROW).select(F.col("_no").alias("doc_id"), "text")
+    answers = _cut(own, hot, with_text).withColumnRenamed("doc_id", "_no")
+    of = numbered.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_same"), "_no")
+    members = keyed.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_same"))).select("doc_id", "_no")
+    return members.join(answers, "_no").drop("_no")
+
+
+def _cut(docs: DataFrame, hot: int, with_text: bool) -> DataFrame:
+    """The same for ids that are unique and not null."""
     spans = repeated_spans(docs, hot).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
     schema = SCHEMA if with_text else SCHEMA.removesuffix(", kept_text string")
@@ -387,9 +410,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_text: bool = False) ->
                 left = b"".join([*rest, data[at:]])
                 row = (doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest())
                 rows.append((*row, left.decode("utf-8", "replace")) if with_text else row)
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
     return joined.mapInPandas(run, schema)
 

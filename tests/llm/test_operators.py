@@ -372,6 +372,24 @@ def test_substrings_of_odd_tables(spark, odd, empty):
     assert substring_dedup.remove_repeats(odd).count() == odd.count() and substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_repeated_and_null_ids(spark):
+    """Rows of one id with other texts follow each other, null ids come last, equal rows get equal answers, large ids stay."""
+    shared = "".join(random.Random(4).choices("abcdefghij ", k=320))
+    rows = [(1, "first " * 3 + shared), (1, "other-" * 4 + shared + " end"), (2**60 + 1, shared[:150]), (None, shared + "x"), (None, "yz" * 90), (1, "first " * 3 + shared), (2**53 + 1, "unique text")]
+    order = sorted(dict.fromkeys(rows), key=lambda x: (x[0] is None, x[0] or 0, rows.index(x)))
+    expected = brute_spans([(i, t.encode()) for i, (_, t) in enumerate(order)])
+    got = sorted((tuple(x) for x in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted(((r[0], *expected[order.index(r)]) for r in rows), key=str)
+    assert {x[2] for x in got if x[0] == 1} == {0, 320} and sum(x[2] for x in got if x[0] == 2**60 + 1) == 150
+
+
+def test_large_ids_beside_null_ones(spark):
+    ids = [None, 2**53 + 1, 2**60 + 1]
+    docs = spark.createDataFrame([(i, prose(9, 40), "en", "a", 1) for i in ids], SCHEMA)
+    for found in (substring_dedup.remove_repeats(docs), quality_rules.clean_lines(docs), language_id.predict_languages(docs, language_id.Model())):
+        assert sorted((r["doc_id"] for r in found.collect()), key=str) == sorted(ids, key=str)
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     text = prose(5, 3000)
     _, pos, ah, ch, r = substring_dedup._anchors([text.encode()])
