@@ -60,10 +60,13 @@ def recording_cut(points: DataFrame, gaps: DataFrame) -> DataFrame:
     stops = anchors.withColumn("gap", F.lit(None).cast(starts.schema["gap"].dataType)).withColumn("side", F.lit(1))
     rows = starts.union(ends).withColumn("anchor", F.lit(None).cast(anchors.schema["anchor"].dataType)).unionByName(stops)
     # A gap's start comes before an anchor at its place, its end as well.
-    order = Window.partitionBy("case_id").orderBy("at", F.col("side") == 1)
+    # Of anchors at one place the one with the latest clock is nearest before, that with the earliest nearest after.
+    case = Window.partitionBy("case_id")
+    order = case.orderBy("at", F.col("side") == 1, "anchor.utc")
+    back = case.orderBy(F.desc("at"), F.col("side") != 1, F.desc("anchor.utc"))
     before = F.last("anchor", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("anchor", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    first = F.first("anchor", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = F.last("anchor", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min("anchor").over(case)
     seen = rows.select("case_id", "gap", "side", before.alias("before"), after.alias("after"), first.alias("first")).filter("gap is not null")
     both = seen.groupBy("case_id", "gap").agg(F.max(F.when(F.col("side") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("side") == 2, F.col("after"))).alias("after"), F.max("first").alias("first"))
     du = F.col("after.utc") - F.col("before.utc")

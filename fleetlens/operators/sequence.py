@@ -133,16 +133,20 @@ def headings(points: DataFrame) -> DataFrame:
     return rows.withColumn("_own", own).select("case_id", "row_idx", F.last("_own", ignorenulls=True).over(run).alias("heading"))
 
 
-def curve_runs(points: DataFrame, max_gap_sec: float = MAX_GAP_SEC) -> DataFrame:
-    """Speed-chart runs: fixes with speed, cut at clip changes, gaps and any drop-out or synthetic row between."""
+def curve_points(points: DataFrame, max_gap_sec: float = MAX_GAP_SEC) -> DataFrame:
+    """Fixes with speed and the ``run_id`` of their chart run, cut at clip changes, gaps and any drop-out or synthetic row between."""
     broken = (P.is_dropout() | P.is_synthetic()).cast("int")
     rows = points.withColumn("_broken", F.sum(broken).over(so_far())).filter(P.usable_speed())
     same = (
         (F.lag("segment_index").over(ordered()) == F.col("segment_index")) & (F.lag("_broken").over(ordered()) == F.col("_broken"))
         & ((F.col("t_us") - F.lag("t_us").over(ordered())) / F.lit(1e6) <= max_gap_sec)
     )
-    rows = rows.withColumn("run_id", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(so_far()))
-    return rows.groupBy("case_id", "run_id").agg(F.min("row_idx").alias("first_idx"), F.max("row_idx").alias("last_idx"), F.count("*").alias("n_points"))
+    return rows.withColumn("run_id", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(so_far())).drop("_broken")
+
+
+def curve_runs(points: DataFrame, max_gap_sec: float = MAX_GAP_SEC) -> DataFrame:
+    """Speed-chart runs: first and last row and number of points."""
+    return curve_points(points, max_gap_sec).groupBy("case_id", "run_id").agg(F.min("row_idx").alias("first_idx"), F.max("row_idx").alias("last_idx"), F.count("*").alias("n_points"))
 
 
 def polyline_runs(points: DataFrame, events: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..operators import curves
 from ..operators import history as H
 from ..operators import recordings as RC
 from ..operators import reopen as RO
+from ..operators import sequence as S
 from ..operators.times import estimate_times
 from ..sources import documents as DOC
 from ..sources.shared import checkpointed, shared_path
@@ -81,6 +83,30 @@ def op_promote_carved(p: DataFrame) -> DataFrame:
     return outcomes.join(ends, "case_id", "left")
 
 
+# --- curves
+
+
+CURVES = """
+bk AS (SELECT *, sum(CASE WHEN syn OR (rec AND NOT coords) THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY row_idx) AS b FROM pt),
+us AS (SELECT *, lag(segment_index) OVER w = segment_index AND lag(b) OVER w = b AND (t_us - lag(t_us) OVER w) / 1e6 <= 5 AS same FROM bk WHERE fix AND NOT syn AND speed_kmh >= 0 WINDOW w AS (PARTITION BY case_id ORDER BY row_idx)),
+rn AS (SELECT case_id, start_time_sec AS x, speed_kmh AS y, sum(CASE WHEN coalesce(same, false) THEN 0 ELSE 1 END) OVER (PARTITION BY case_id ORDER BY row_idx) AS run_id FROM us),
+s0 AS (SELECT *, row_number() OVER w AS i, lead(x) OVER w AS x1, lead(y) OVER w AS y1, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS d FROM rn WINDOW w AS (PARTITION BY case_id, run_id ORDER BY x)),
+s1 AS (SELECT *, CASE WHEN lag(d) OVER w IS NULL THEN d WHEN d IS NULL THEN lag(d) OVER w WHEN d * lag(d) OVER w > 0 THEN (d + lag(d) OVER w) / 2 ELSE 0 END AS m FROM s0 WINDOW w AS (PARTITION BY case_id, run_id ORDER BY x)),
+s2 AS (SELECT *, lead(m) OVER (PARTITION BY case_id, run_id ORDER BY x) AS n FROM s1),
+wc(case_id, run_id, i, m0, nxt) AS (SELECT case_id, run_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), m FROM s2 WHERE i = 1 AND x1 IS NOT NULL
+ UNION ALL SELECT case_id, run_id, i, CASE WHEN d = 0 THEN 0 WHEN r > 3 THEN 3 * cur / r ELSE cur END, CASE WHEN d = 0 THEN 0 WHEN r > 3 THEN 3 * n / r ELSE n END
+ FROM (SELECT s2.case_id, s2.run_id, s2.i, d, n, nxt AS cur, CASE WHEN d <> 0 THEN sqrt((nxt / d) * (nxt / d) + (n / d) * (n / d)) END AS r FROM wc JOIN s2 ON s2.case_id = wc.case_id AND s2.run_id = wc.run_id AND s2.i = wc.i + 1 AND x1 IS NOT NULL)),
+s3 AS (SELECT s2.case_id, s2.run_id, x, y, x1, y1, m0, coalesce(lead(m0) OVER (PARTITION BY s2.case_id, s2.run_id ORDER BY s2.i), nxt) AS m1 FROM wc JOIN s2 ON s2.case_id = wc.case_id AND s2.run_id = wc.run_id AND s2.i = wc.i)
+"""
+
+
+@query(CURVES + "SELECT case_id, CAST(run_id AS BIGINT) AS run_id, x AS x0, round(y + m0 * ((x1 - x) / 3), 6) AS c1y, round(y1 - m1 * ((x1 - x) / 3), 6) AS c2y, x1 FROM s3")
+def win_monotone_cubic(p: DataFrame) -> DataFrame:
+    """Control points of the speed chart's curves."""
+    points = S.curve_points(p).select("case_id", "run_id", F.col("start_time_sec").alias("x"), F.col("speed_kmh").alias("y"))
+    return curves.monotone_segments(points).select("case_id", "run_id", "x0", F.round("c1y", 6).alias("c1y"), F.round("c2y", 6).alias("c2y"), "x1")
+
+
 # --- histories
 
 

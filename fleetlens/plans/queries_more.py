@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import times as TM
-from ..operators import curves, events, linkage, pairs
+from ..operators import events, linkage, pairs
 from ..operators import report as R
 from ..operators import sequence as S
 from ..operators.times import estimate_times
@@ -116,14 +116,6 @@ def agg_gps_start(p: DataFrame) -> DataFrame:
     return by.select("case_id", "segment_index", F.round(F.element_at("o", (F.floor(F.size("o") / 2) + 1).cast("int")), 6).alias("gps_start"))
 
 
-@query()
-def win_monotone_cubic(p: DataFrame) -> DataFrame:
-    runs = S.curve_runs(p).filter("n_points > 1")
-    inside = p.filter(P.usable_speed()).select("case_id", "row_idx", F.col("start_time_sec").alias("x"), F.col("speed_kmh").alias("y"))
-    points = inside.join(runs.withColumnRenamed("case_id", "_c"), F.expr("case_id = _c and row_idx between first_idx and last_idx"))
-    return curves.monotone_segments(points.select("case_id", "run_id", "x", "y"))
-
-
 @query("""SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 11 = 0 THEN ['same_file'] WHEN o_orderkey % 7 = 0 THEN ['same_content'] ELSE [x FOR x IN [CASE WHEN o_orderkey % 5 = 0 THEN 'brand' END,
  CASE WHEN o_orderkey % 10 > 3 THEN 'name_time' END, CASE WHEN abs(o_orderkey % 9) > greatest(2e0, 0.05e0 * (60 + o_orderkey % 9)) THEN 'duration' END] IF x IS NOT NULL] END AS problems FROM orders""", "orders")
 def op_compare_pair(o: DataFrame) -> DataFrame:

@@ -54,6 +54,33 @@ def test_monotone_curve(spark):
         assert low - 1e-9 <= r["c1y"] <= high + 1e-9 and low - 1e-9 <= r["c2y"] <= high + 1e-9
 
 
+def test_curves_against_a_walk(spark):
+    import math
+    import random
+
+    r = random.Random(6)
+    rows, expected = [], {}
+    for run in range(12):
+        y = [float(r.choice([0, 0, 1, 2, 10, 50])) for _ in range(r.randrange(2, 40))]
+        x = [float(sum(r.choice([1, 1, 2]) for _ in range(i))) + i for i in range(len(y))]
+        x = sorted(set(x))[: len(y)]
+        y = y[: len(x)]
+        rows += [(1, run, a, b) for a, b in zip(x, y, strict=True)]
+        d = [(y[i + 1] - y[i]) / (x[i + 1] - x[i]) for i in range(len(x) - 1)]
+        if not d:
+            continue
+        m = [d[0], *((a + b) / 2 if a * b > 0 else 0.0 for a, b in zip(d, d[1:], strict=False)), d[-1]]
+        for i, slope in enumerate(d):
+            size = math.hypot(m[i] / slope, m[i + 1] / slope) if slope else math.inf
+            for k in (i, i + 1):
+                m[k] = 0.0 if not slope else 3 * m[k] / size if size > 3 else m[k]
+        expected |= {(run, x[i]): (m[i], m[i + 1]) for i in range(len(d))}
+    got = {(t["run_id"], t["x0"]): (t["m0"], t["m1"]) for t in curves.tangents(spark.createDataFrame(rows, "case_id long, run_id long, x double, y double")).collect()}
+    assert got.keys() == expected.keys()
+    for k, v in expected.items():
+        assert got[k] == pytest.approx(v, abs=1e-9)
+
+
 def test_pair_problems(spark):
     side = "struct<path:string,sha256:string,name_time:timestamp,duration:double,recorded_at:timestamp,container:string,brand:string,udta:string,model:string,codec:string>"
     df = spark.sql(f"""select 1 as pair_id, cast(named_struct('path','a','sha256','x','name_time',timestamp'2024-01-01 00:00:00','duration',60d,'recorded_at',null,'container','mp4','brand','i','udta','','model','m','codec','h') as {side}) as front,
