@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, texts
 from ..functions import predicates as P
 from ..functions import times as TM
+from ..sources import documents
+from ..sources import rows as R
 from ..sources.shared import checkpointed
 from . import cases, events, linkage, matching, outliers, pairs, report
 from .sequence import distinct_fixes
@@ -198,14 +200,44 @@ def run_sequence(points: DataFrame, slots: DataFrame, durations: DataFrame, stat
         "row_idx": F.col("row_idx") - F.col("_base") + F.col("row_base"), "segment_index": F.col("_segment"), "case_id": F.col("job_id"),
     }).drop("_segment", "_base", "offset_sec", "row_base")
     found = events.detect(marked).filter("vehicle = 'car'").withColumnRenamed("case_id", "clip_id").join(shift, "clip_id")
-    rows = F.col("row_base") - F.col("_base")
+    moved = F.col("row_base") - F.col("_base")
     found = found.select(
-        "job_id", F.col("_segment").alias("segment_index"), "kind", (F.col("start_index") + rows).alias("start_index"), (F.col("end_index") + rows).alias("end_index"), "peak",
+        "job_id", F.col("_segment").alias("segment_index"), "kind", (F.col("start_index") + moved).alias("start_index"), (F.col("end_index") + moved).alias("end_index"), "peak",
         (F.col("start_time") + F.col("offset_sec")).alias("start_time"), (F.col("end_time") + F.col("offset_sec")).alias("end_time"),
     )
     return track, found, records.drop("_base")
 
 
+SEGMENT = "array<struct<slot_no:int,clip_id:bigint,duration_sec:double,status:string,label:string,output_subdir:string>>"
+
+
+def store_sequence(points: DataFrame, records: DataFrame, path: str) -> None:
+    """Keeps the leading clips' tracks as timelines and each job's clips as a document."""
+    kept = points.drop("job_id").join(records.select("clip_id").distinct(), "clip_id", "left_semi").filter(~P.is_synthetic())
+    R.write_timeline(kept.withColumn("case_id", F.col("clip_id")), f"{path}/engine_output")
+    unit = F.struct("slot_no", "clip_id", F.col("span").alias("duration_sec"), "status", "label", "output_subdir")
+    lists = records.groupBy("job_id").agg(F.array_sort(F.collect_list(unit)).alias("segments"))
+    documents.commit(lists.select(F.col("job_id").alias("case_id"), F.to_json(F.struct("segments")).alias("document")), f"{path}/documents")
+
+
+def reopen_sequence(jobs: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Combined track, events and records of stored jobs(job_id), as ``run_sequence`` gave them, without extracting anything again.
+
+    A clip whose timeline is gone has the status unknown; a job whose document is absent or damaged is left out.
+    """
+    read = documents.read(jobs.select(F.col("job_id").alias("case_id")), f"{path}/documents").filter("outcome = 'ok'")
+    parsed = F.from_json("document", f"segments {SEGMENT}")
+    clips = checkpointed(read.select(F.col("case_id").alias("job_id"), F.inline(parsed["segments"])))
+    stored = R.load_timeline(jobs.sparkSession, f"{path}/engine_output").withColumn("clip_id", F.col("case_id").cast("long"))
+    order = Window.partitionBy("clip_id").orderBy(F.col("start_time_sec").isNull(), "start_time_sec", "file_row")
+    tracks = stored.withColumn("row_idx", F.row_number().over(order).cast("long") - 1)
+    tracks = checkpointed(tracks.withColumns({"case_id": F.col("clip_id"), "t_us": F.round(F.col("start_time_sec") * 1_000_000).cast("long"), "segment_index": F.lit(0)}).drop("source_file", "file_row"))
+    present = tracks.select("clip_id").distinct().withColumn("_there", F.lit(True))
+    statuses = clips.join(present, "clip_id", "left").select("clip_id", F.when(F.col("_there"), F.col("status")).otherwise("unknown").alias("status"))
+    slots = clips.select("job_id", "slot_no", "clip_id", F.lit(True).alias("combined"))
+    return run_sequence(tracks, slots, clips.select("clip_id", F.col("duration_sec").alias("duration")), statuses)
+
+
 def combined_cases(records: DataFrame) -> DataFrame:
     """(job_id, n_clips, duration_sec, status, status_detail): a job's clips as one case, its status the worst of theirs."""
     bad = F.when(F.col("status") != "ok", F.concat_ws(": ", "label", "status"))
