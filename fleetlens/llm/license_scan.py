@@ -1,18 +1,26 @@
 """Licence scan: a trained paragraph classifier, DataFrame functions and spark.ml (JVM) only.
 
-Paragraphs are the lines of a text. Each is a sparse vector of the word 1- and
+Paragraphs are the lines of a text, and blocks of lines between blank ones that
+carry a licence word, for notices that are wrapped; a block counts only where it
+is sure. Each is a sparse vector of the word 1- and
 2-grams of a vocabulary learnt in training; multinomial logistic regression
-says which licence family it belongs to, or ``none``. Training texts are the
+says which licence family it belongs to, or ``none``, or ``unknown``: a licence of
+none of the families. Training texts are the
 notices below with prefixes, endings and halves, against a bounded, hash-chosen
 sample of corpus lines that carry no licence word and a list of near misses.
 
-Calibration, on training rows held back: a temperature for the probabilities
-and the threshold under which a licence-like paragraph is ``unknown``. A
+Calibration: a temperature for the probabilities, on training rows held back, and
+the threshold under which a licence-like paragraph is ``unknown``, on those and on
+notices of licences that no training row comes from. A
 prediction stands only if the paragraph also holds enough of the word pairs of
 one of that family's notices; otherwise it is ``unknown`` too.
 
 Null and empty texts have no paragraphs and the family ``none``. Rows never
-move but for paragraphs that look like licences, which are few, and ids.
+move but for paragraphs that look like licences, which are few, and ids. Equal rows get
+equal answers, of equal confidences the family that comes last by name counts; texts of any
+length are read whole, an empty table gives an empty table. Only ``doc_id`` and
+``text`` are read, so other columns may have any name; ids may be null, large or repeat,
+and rows of one id share their licences.
 """
 
 from __future__ import annotations
@@ -43,6 +51,12 @@ NOTICES = {
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -54,6 +68,7 @@ NOTICES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Released under the GNU GPL version 2 or later.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "LGPL": (
@@ -63,6 +78,8 @@ NOTICES = {
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-clause BSD license.",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -94,6 +111,25 @@ NOTICES = {
         "Copyright 2021 Example Corporation. All rights reserved.",
     ),
 }
+#: Notices of licences that have no family of their own.
+OTHERS = (
+    "This software is provided as-is, without any express or implied warranty; in no event will the authors be held liable for any damages.",
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2.", "Distributed under the Boost Software License, Version 1.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "You may use and modify it under the terms of the Artistic License 2.0.",
+    "Use of this source code is governed by the terms of the Example Community License.", "Hiermit wird unentgeltlich jeder Person, die eine Kopie der Software erhält, die Erlaubnis erteilt, sie uneingeschränkt zu nutzen.",
+    "Diese Datei steht unter einer freien Lizenz.", "Ce logiciel est régi par la licence CeCILL soumise au droit français.", "Este programa es software libre con licencia propia.",
+)
+#: Notices of licences that the model never sees, for the threshold.
+UNSEEN = (
+    "Released under the PostgreSQL License.", "Licensed under the Academic Free License version 3.0.", "This database is made available under the Open Database License.",
+    "Distributed under the terms of the Python Software Foundation License Version 2.", "Licensed under the Microsoft Reciprocal License.", "This file is covered by the Zope Public License, version 2.1.",
+    "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSL-1.0", "Released under the Do What The Fuck You Want To Public License.", "Licensed under the Common Development and Distribution License.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications.", "The licensee may copy this software for teaching and research only.",
+)
+#: Share of unseen notices that stay below the threshold.
+UNSEEN_BELOW = 0.9
 #: Sentences that use the same words and are no licence.
 NEAR_MISSES = (
     "He was given permission to leave early.", "Her driving licence was renewed in May.", "The licence plate was covered in mud.",
@@ -123,6 +159,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", line.alias("line"))
 
 
+def paragraphs_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, block): every line, and blocks of several lines that carry a licence word as one line each."""
+    blocks = docs.filter(F.col("text").rlike(CUE)).select("doc_id", F.explode(F.split("text", r"\n[ \t\r]*\n")).alias("line"))
+    blocks = blocks.filter(F.trim("line", F.lit(" \t\r\n")).contains("\n") & F.col("line").rlike(CUE))
+    blocks = blocks.select("doc_id", F.regexp_replace("line", r"\s+", " ").alias("line"), F.lit(True).alias("block"))
+    return lines_of(docs).withColumn("block", F.lit(False)).unionByName(blocks)
+
+
 def _training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = []
     for family, texts in NOTICES.items():
@@ -130,6 +174,7 @@ def _training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
             words = t.split()
             bodies = [t, t.rstrip("."), t.lower()] + ([" ".join(words[: 2 * len(words) // 3])] if len(words) > 11 else [])
             own += [(p + b + e, family) for b in bodies for p in PREFIXES for e in ENDINGS]
+    own += [(p + b + e, "unknown") for t in OTHERS for b in (t, t.lower()) for p in PREFIXES for e in ENDINGS]
     own += [(p + t + e, "none") for t in NEAR_MISSES for p in PREFIXES[:4] for e in ("", " It was late.", " The end.")]
     made = spark.createDataFrame(own, "line string, family string")
     # Lines are drawn by a hash of their content: about SAMPLE_LINES of them, whatever the size of the corpus.
@@ -165,7 +210,7 @@ class LicenceModel:
 def train(docs: DataFrame) -> LicenceModel:
     spark = docs.sparkSession
     rows = _training_rows(spark, docs)
-    families = ["none", *sorted(NOTICES)]
+    families = ["none", "unknown", *sorted(NOTICES)]
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
     data = _grams(rows).withColumn("label", label.cast("double")).withColumn("_back", F.pmod(F.xxhash64("line"), F.lit(5)) == 0)
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True)
@@ -179,7 +224,11 @@ def train(docs: DataFrame) -> LicenceModel:
 
     temperature = min((0.25 * 1.25**k for k in range(16)), key=loss) if pairs else 1.0
     alarms = sorted((1 / sum(math.exp((x - max(z[1:])) / temperature) for x in z) for y, z in pairs if y == 0), reverse=True)
-    threshold = min(0.9, max(0.5, alarms[int(FALSE_ALARMS * len(alarms))])) if alarms else 0.5
+    unseen = spark.createDataFrame([(p + t + e,) for t in UNSEEN for p in PREFIXES for e in ENDINGS], "line string")
+    shown = pipeline.transform(_grams(unseen)).select(vector_to_array("rawPrediction").alias("z")).collect()  # hundreds of rows
+    wrong = sorted(1 / sum(math.exp((x - max(z[2:])) / temperature) for x in z) for z in (list(r["z"]) for r in shown))
+    alarm = alarms[int(FALSE_ALARMS * len(alarms))] if alarms else 0.5
+    threshold = min(0.95, max(0.5, alarm, wrong[int(UNSEEN_BELOW * len(wrong))]))
     return LicenceModel(pipeline, families, temperature, threshold)
 
 
@@ -188,11 +237,12 @@ def licence_lines(docs: DataFrame, model: LicenceModel) -> DataFrame:
     spark = docs.sparkSession
     known = NGram(n=2, inputCol="words", outputCol="pairs").transform(notices(spark).withColumn("words", tokens(F.col("notice"))))
     known = known.groupBy("family").agg(F.collect_list(F.array_distinct("pairs")).alias("notices"))  # one row per family
-    found = model.scored(lines_of(docs)).filter(F.col("best") != "none").select("doc_id", "line", "best", "p", "word_pairs")
-    met = found.join(F.broadcast(known), found.best == known.family)
-    share = F.array_max(F.transform("notices", lambda t: F.size(F.array_intersect(t, "word_pairs")) / F.size(t)))
+    found = model.scored(paragraphs_of(docs)).filter(F.col("best") != "none").select("doc_id", "line", "block", "best", "p", "word_pairs")
+    met = found.join(F.broadcast(known), found.best == known.family, "left")
+    share = F.coalesce(F.array_max(F.transform("notices", lambda t: F.size(F.array_intersect(t, "word_pairs")) / F.size(t))), F.lit(0.0))
     sure = (F.col("p") >= model.threshold) & (share >= SIMILARITY)
-    return met.select("doc_id", "line", F.when(sure, F.col("best")).otherwise("unknown").alias("family"), "p", share.alias("similarity"))
+    judged = met.select("doc_id", "line", "block", F.when(sure, F.col("best")).otherwise("unknown").alias("family"), "p", share.alias("similarity"))
+    return judged.filter(~F.col("block") | (F.col("family") != "unknown")).drop("block")
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -97,6 +98,26 @@ def test_licences(spark, odd, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licences_over_lines_and_of_unseen_families(spark):
+    """Wrapped notices, families with one notice, licences that nothing was trained on, and words that only sound like one."""
+    body = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+    )
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    bsd = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    wanted = [
+        (body, {"MIT"}), (prose(1, 40) + "\n\n" + textwrap.fill(body, 72) + "\n\n" + prose(2, 40), {"MIT"}), (textwrap.fill(isc, 60), {"ISC"}), (bsd, {"BSD"}),
+        ("You should have received a copy of the GNU General Public License along with this program.", {"GPL"}),
+        ("Hiermit wird jeder Person, die eine Kopie dieser Software erhält, unentgeltlich die Erlaubnis erteilt, sie zu nutzen.", {"unknown"}),
+        ("Licensed under the Sun Industry Standards Source License version 1.2.", {"unknown"}), ("She got permission to copy the key.", {"none"}), (prose(3, 60) + "\n" + prose(4, 60), {"none"}),
+    ]
+    docs = docs_of(spark, [t for t, _ in wanted] + [prose(i, 50) for i in range(100, 160)])
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan(docs).collect()}
+    assert all(got[i] in families for i, (_, families) in enumerate(wanted)), got
+    assert {got[i] for i in range(len(wanted), len(got))} == {"none"}
+
+
 # --- 2 decontamination
 
 
