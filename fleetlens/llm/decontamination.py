@@ -16,8 +16,10 @@ The same is done with the texts lower-cased first, where names stay words: that
 finds copies in any case. Items that have no window with enough words, or fewer
 than ``width`` tokens, are looked for as whole sequences of tokens and values.
 
-Null and empty texts match nothing. Every row gets its own rows, whether ids are
-null or repeat. The benchmark's table is broadcast only where its counted
+Null and empty texts match nothing, and nothing matches in empty tables. Texts of any
+length are read whole. Every row gets its own rows, whether ids are null, large or
+repeat, and equal rows get equal answers; an item that several alignments reach is one
+row. Only ``doc_id``, ``item_id`` and ``text`` are read, so other columns may have any name. The benchmark's table is broadcast only where its counted
 windows are within ``BROADCAST_ROWS`` (about 60 bytes each); beyond that it is a
 shuffled hash-partitioned join.
 """

@@ -7,7 +7,10 @@ in order of the curve index, equal texts of a cell side by side, and the order
 is cut into runs of equal row counts: file statistics of every dimension stay
 narrow per shard, so readers can skip files on any of them.
 
-Null is a value of its own and sorts first; an empty table gives no rows.
+Null is a value of its own and sorts first; an empty table gives no rows. Equal rows
+stand side by side and get slots of their own; ids may be null, large or repeat, texts of
+any length count by their bytes. Only ``doc_id``, ``text`` and the dimensions are read, so
+other columns may have any name.
 Only narrow rows (ids, sizes, checksums) are ever shuffled; ranks come from
 per-partition counts, never from a window over all rows.
 """
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_running_sums
+from .common import BROADCAST_KEYS, materialize, with_running_sums
 
 SHARDS = 40
 BITS = 6
@@ -69,10 +72,12 @@ def quantise(rows: DataFrame, column: str, bits: int, total: int) -> DataFrame:
     """Add ``_q_<column>``: the cell of each value by the share of rows before it."""
     values = rows.groupBy(column).agg(F.count("*").alias("_n"))
     before = with_running_sums(values, [column], {"_before": F.col("_n")})
-    cells = before.select(
+    cells = materialize(before.select(
         F.col(column).alias("_value"),
         F.least(F.lit((1 << bits) - 1), F.floor(F.col("_before") * (1 << bits) / max(1, total))).cast("int").alias(f"_q_{column}"),
-    )
+    ))
+    # A value may have a third of all rows: few values travel to the rows; only where there are many do both sides travel.
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_KEYS // 10 else cells
     return rows.join(cells, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 

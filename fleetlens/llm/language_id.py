@@ -11,7 +11,10 @@ Training takes at most about ``max_docs`` texts per language, chosen by a hash
 of doc_id, and runs on Spark (hinge loss, pyspark.ml). The model is one row of
 ``DIMENSIONS`` weights per pair of classes. Scoring is one pass without a
 shuffle. Null texts and texts without a letter are ``und`` with score 0; with
-no labelled text at all everything is ``und``.
+no labelled text at all everything is ``und``. Of equal votes the larger margins win, then the class that comes last
+by name. Equal rows get equal answers; ids pass through untouched, whether null, large or
+repeated; texts of any length are read whole, and an empty table gives an empty table. Only
+``doc_id``, ``text`` and, to learn, ``lang`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
