@@ -105,8 +105,8 @@ def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[:n], out[width - span : width - span + n])
 
 
-def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Anchors of a few texts laid end to end: text, position, hash, context hash, bytes from the anchor to the context's end.
+def _anchors(texts: list[bytes], contexts: bool = True) -> tuple[np.ndarray, ...]:
+    """Anchors of a few texts laid end to end: text, position, hash and, with ``contexts``, context hash and bytes from the anchor to the context's end.
 
     Windows that reach over the end of a text count for nothing.
     """
@@ -115,7 +115,8 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     width = LENGTH - ANCHOR + 1
     if len(data) < LENGTH:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none, nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (none, none, nothing, nothing, none) if contexts else (none, none, nothing)
     hashes = Hashes(data)
     at = np.arange(len(data) - ANCHOR + 1)
     h = hashes.of(at, at + ANCHOR) | np.uint64(1)
@@ -126,6 +127,8 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     chosen = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), width, np.maximum) == h)
     text = np.searchsorted(ends, chosen, side="right")
     start = (ends - sizes)[text]
+    if not contexts:
+        return text, chosen - start, h[chosen]
     lo, hi = np.maximum(chosen - SIDE, start), np.minimum(chosen + LENGTH, ends[text])
     with np.errstate(over="ignore"):
         context = _mix(hashes.of(lo, hi) + (chosen - lo).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + (hi - chosen).astype(np.uint64))
@@ -143,14 +146,17 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(ah, ch, doc_id, pos, r): anchor and context hashes with their place and the context's bytes from the anchor on."""
+def anchors(docs: DataFrame, places: bool = True) -> DataFrame:
+    """(ah, ch, doc_id, pos, r): anchor and context hashes with their place and the context's bytes from the anchor on; without ``places`` (ah) alone."""
 
     def solve(docs_: list[int], own: list[tuple], texts: list[bytes]) -> pd.DataFrame:
-        text, pos, ah, ch, r = _anchors(texts)
+        text, pos, ah, *context = _anchors(texts, places)
         begin, end, offset = (np.array(x, dtype=np.int64)[text] for x in zip(*own, strict=True))
         pos = pos + offset
         keep = (pos >= begin) & (pos < end)
+        if not places:
+            return pd.DataFrame({"ah": ah.view(np.int64)[keep]})
+        ch, r = context
         doc = np.array(docs_, dtype=np.int64)[text]
         return pd.DataFrame({
             "ah": ah.view(np.int64)[keep], "ch": ch.view(np.int64)[keep], "doc_id": doc[keep], "pos": pos[keep].astype(np.int32), "r": r[keep].astype(np.int32),
@@ -174,7 +180,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         if texts:
             yield solve(ids, own, texts)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "ah long, ch long, doc_id long, pos int, r int")
+    return docs.select("doc_id", "text").mapInPandas(run, "ah long, ch long, doc_id long, pos int, r int" if places else "ah long")
 
 
 def _blocks(contexts: list[bytes], left: np.ndarray) -> np.ndarray:
@@ -342,9 +348,8 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, a, b): spans, overlapping each other, that cover every byte to remove."""
-    found = anchors(docs)
-    often = found.groupBy("ah").count().filter("count > 1").select("ah")
-    kept = stored(found.join(often, "ah"), "anchors")
+    often = anchors(docs, places=False).groupBy("ah").count().filter("count > 1").select("ah")
+    kept = stored(anchors(docs).join(often, "ah"), "anchors")
     first = kept.groupBy("ah", "ch").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
     again = kept.join(first.filter("n > 1"), ["ah", "ch"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     whole = again.select("doc_id", F.greatest(F.lit(0), F.col("pos") - SIDE).cast("long").alias("a"), (F.col("pos") + F.col("r")).cast("long").alias("b"))
