@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import matching, multiclip
+from fleetlens.operators import linkage, matching, multiclip
+from fleetlens.plans import queries_clips
 
 from .tracks import track
 
@@ -102,3 +103,14 @@ def test_clips_become_one_track(spark):
     assert [(r["segment_index"], r["kind"], r["start_index"], r["start_time"]) for r in found.orderBy("start_index").collect()] == [(0, "decel", 1, 1.0), (1, "decel", 6, 6.0)]
     case = multiclip.combined_cases(records).first()
     assert (case["n_clips"], case["duration_sec"], case["worst"], case["status_detail"]) == (2, 10.0, "ok", "")
+
+
+def test_rears_of_every_vehicle_by_time(spark):
+    rows = [{"t": i * 1.1} for i in range(25)]
+    points = track(spark, rows, 2).union(track(spark, rows, 7)).union(track(spark, rows[:12], 22)).union(track(spark, rows[3:], 41))
+    starts = {}
+    for case, n, t0 in ((2, 25, 0.0), (7, 25, 0.0), (22, 12, 0.0), (41, 22, 3.3)):
+        starts |= {case * 100 + i: (case, case % 20 * 2 + i * 11 + t0 + i * 1.1) for i in range(0, n, 10)}
+    expected = {(f, r) for f, (a, x) in starts.items() for r, (b, y) in starts.items() if a % 2 == 0 and b % 2 == 1 and abs(x - y) <= 3}
+    got = [(x["front_id"], x["rear_id"]) for x in linkage.rear_by_time(*queries_clips._all_starts(points)).collect()]
+    assert sorted(got) == sorted(expected) and {(f // 100, r // 100) for f, r in got} == {(2, 41), (22, 41)}
