@@ -168,6 +168,8 @@ WIDE_SHINGLE = 5
 EVERY_PAIR = 8
 #: Most central texts that each text of larger points is compared with.
 HEADS = 4
+#: Texts of a block of a larger point whose groups are still apart; every two blocks are compared.
+PAIR_BLOCK = 256
 #: Texts that are fingerprinted at a time, which bounds a worker's memory.
 AT_ONCE = 500
 
@@ -243,9 +245,11 @@ def similar_rows(
     all its points (those that meet most others over all tables) and with a
     neighbour at the smallest one; what this leaves outside the group of the most
     central one is compared the same way among itself. At the other points all
-    texts are compared that crowds have not yet put into one group. So comparisons
-    grow with the texts and not with the square of a group. The complete
-    fingerprints are verified first, then the sets themselves.
+    texts are compared that crowds have not yet put into one group. In the end all
+    texts that still meet in a crowd from different groups are compared, block by
+    block, so no link is lost to the order of comparing; only what is left apart
+    there grows with its square. The complete fingerprints are verified first,
+    then the sets themselves.
     """
 
     @F.pandas_udf("same binary, fp binary, free binary")
@@ -299,12 +303,32 @@ def similar_rows(
     further = _pairs(few.union(in_crowds(rest)).select("node", F.explode("others").alias("other")))
     more = sets.alike(further.join(candidates, ["node", "other"], "left_anti"))
     if more.limit(1).count():
-        parts = connected_components(stored(found.union(more), "links"))
+        found = stored(found.union(more), "links")
+        parts = materialize(connected_components(found))
+    # What crowds hold in different groups even then is compared in full.
+    asked = candidates.union(further)
+    last = sets.alike(_pairs(_apart(met.filter(crowded), parts)).join(asked, ["node", "other"], "left_anti"))
+    if last.limit(1).count():
+        parts = connected_components(stored(found.union(last), "links"))
     named = distinct.join(parts, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
     grouped = worded.select(ROW, "same").join(named, "same").select(ROW, "group")
     return grouped.union(marked.filter("same is null").select(ROW, F.col(ROW).alias("group")))
 
 
+def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, other) of all texts that meet at a point of rows(point, node) and are in different groups of parts(node, root).
+
+    A point's texts are dealt into blocks and every two blocks meet in a place of their own, so no task holds a crowd.
+    """
+    rooted = rows.select("point", "node").join(parts, "node", "left").select("point", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    rooted = rooted.join(several.filter("low <> high").select("point", "blocks"), "point").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    left = rooted.select("point", "node", "root", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = rooted.select("point", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
+    met = left.join(right, ["point", "i", "j"]).filter("root <> other_root and (i < j or node < other)")
+    return met.select("node", "other")
+
+
 def _pairs(pairs: DataFrame) -> DataFrame:
     """Pairs of different nodes, each once, the larger one first."""
     pairs = pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))

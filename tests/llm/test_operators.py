@@ -579,3 +579,15 @@ def test_repeated_words_against_brute_force():
         count = Counter(windows)
         covered = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(8)}
         assert quality_rules.repeated_window_words(words) == len(covered)
+
+
+def test_texts_left_apart_at_a_point_all_meet(spark, monkeypatch):
+    """Every two texts of a point that are in different groups, also beyond one block, and none of one group."""
+    monkeypatch.setattr(simhash, "PAIR_BLOCK", 4)
+    r = random.Random(3)
+    at = {p: r.sample(range(60), n) for p, n in ((1, 2), (2, 9), (3, 30), (4, 12))}
+    roots = {n: n % 7 for n in range(0, 60, 2)}
+    rows = spark.createDataFrame([(p, n) for p, nodes in at.items() for n in nodes] + [(5, n) for n in (0, 14, 28)], "point long, node long")
+    out = simhash._apart(rows, spark.createDataFrame(list(roots.items()), "node long, root long")).collect()
+    expected = [tuple(sorted((a, b))) for nodes in at.values() for k, a in enumerate(nodes) for b in nodes[:k] if roots.get(a, a) != roots.get(b, b)]
+    assert sorted(tuple(sorted(x)) for x in out) == sorted(expected)
