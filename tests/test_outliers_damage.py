@@ -20,6 +20,28 @@ def test_one_far_place(spark):
     assert marked(track(spark, rows)) == [30]
 
 
+def test_pieces_of_many_cases_share_tasks(spark):
+    """Marks do not depend on where Arrow batches end, and no piece is a job of its own."""
+    values = [30, 150, 150, 30, 30, 31, 120, 31, 30, 30, 30, 90, 30]
+    points = speeds(spark, values)
+    for case in range(2, 9):
+        far = [{"t": float(i), "v": float(v), "lat": 37.5 + (0.02 if i == case else 0)} for i, v in enumerate(values[: case + 4])]
+        points = points.union(track(spark, far, case))
+    points = points.coalesce(1)
+    whole = outliers.mark_outliers(points).select("case_id", "row_idx", "outlier_reason").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        small = outliers.mark_outliers(points).select("case_id", "row_idx", "outlier_reason").collect()
+        groups = points.withColumns({"group_id": F.col("row_idx"), "last_idx": F.col("row_idx")})
+        one_by_one = {c: marked(points.filter(F.col("case_id") == c)) for c in (1, 5)}
+        plan = outliers.rate_groups(groups)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(whole) == sorted(small) and any(r["outlier_reason"] == "rate" for r in whole)
+    assert all(sorted(r["row_idx"] for r in whole if r["case_id"] == c and r["outlier_reason"]) == rows for c, rows in one_by_one.items())
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_impossible_values(spark):
     rows = [{"t": float(i), "v": 10.0, "lat": lat, "lon": lon} for i, (lat, lon) in enumerate([(float("nan"), 127.0), (91.0, 127.0), (0.0, 0.0), (37.5, 127.0)])]
     assert marked(track(spark, rows)) == [0, 1, 2]
