@@ -24,6 +24,10 @@ RANGE_BYTES = 4 << 20
 #: No sentence is longer.
 SENTENCE_BYTES = 256
 ZERO_BLOCK, ZERO_RUN = 1 << 16, 1 << 18
+#: Bytes that one task reads, about.
+TASK_BYTES = 64 << 20
+#: Ranges that go from task to Spark at a time.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 #: What opening a file counts as.
 OPEN_BYTES = 1 << 20
 SCHEMA = "path string, at long, length long, file_size long, content binary"
@@ -59,7 +63,7 @@ class RangeReader(DataSourceReader):
         self.path = options["path"]
         self.range, self.overlap = int(options.get("range_bytes", RANGE_BYTES)), int(options.get("overlap", 0))
         #: Ranges of one task.
-        self.task = max(1, int(options.get("task_bytes", 64 << 20)) // self.range) * self.range
+        self.task = max(1, int(options.get("task_bytes", TASK_BYTES)) // self.range) * self.range
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -86,12 +90,25 @@ class RangeReader(DataSourceReader):
         store, _ = _opened(self.path)
         for path, begin, end, size in partition.parts:
             with store.open_input_file(path) as f:
-                for at in range(begin, end, self.range):
-                    length = min(self.range, end - at)
-                    content = f.read_at(min(length + self.overlap, size - at), at)
-                    columns = [[path], [at], [length], [size], [content]]
-                    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "at", "length", "file_size", "content"])
+                yield from _batches((path, at, min(self.range, end - at), size, f.read_at(min(min(self.range, end - at) + self.overlap, size - at), at)) for at in range(begin, end, self.range))
+
+
+def _batches(ranges: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SCHEMA`` in batches of up to ``BATCH_BYTES``, or of one range that is larger."""
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "at", "length", "file_size", "content"])
+
+    rows, held = [], 0
+    for r in ranges:
+        if rows and (held + len(r[4]) > BATCH_BYTES or len(rows) == BATCH_ROWS):
+            yield batch(rows)
+            rows, held = [], 0
+        rows.append(r)
+        held += len(r[4])
+    if rows:
+        yield batch(rows)
 
 
 def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, overlap: int = 0) -> DataFrame:
@@ -99,6 +116,44 @@ def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     return spark.read.format("byte_ranges").option("path", path).option("range_bytes", range_bytes).option("overlap", overlap).load()
 
 
+def read_members(members: DataFrame, range_bytes: int = RANGE_BYTES, overlap: int = 0) -> DataFrame:
+    """Ranges of files that lie one after another in larger ones: members(path, name, begin, size) names what each is and where.
+
+    ``path`` of the result is the member's name, ``at`` counts from its beginning, and no range or overlap goes past its end.
+    """
+    names = ("name", "store", "begin", "size", "a", "b")
+    step = range_bytes * max(1, TASK_BYTES // range_bytes)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))
+    parts = members.filter("size > 0").select("name", F.col("path").alias("store"), "begin", "size", F.explode(starts).alias("a"))
+    parts = parts.select("*", F.least(F.col("a") + step, "size").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _batches(ranges(zip(*(b.column(k).to_pylist() for k in range(len(names))), strict=True)))
+
+    def ranges(rows: Iterator[tuple]) -> Iterator[tuple]:
+        opened, f = None, None
+        try:
+            for name, path, begin, size, a, b in rows:
+                if path != opened:
+                    if f is not None:
+                        f.close()
+                    store, root = _opened(path)
+                    opened, f = path, store.open_input_file(root)
+                for at in range(a, b, range_bytes):
+                    length = min(range_bytes, b - at)
+                    yield name, at, length, size, f.read_at(min(length + overlap, size - at), begin + at)
+        finally:
+            if f is not None:
+                f.close()
+
+    spark = members.sparkSession
+    total = members.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES + 1)
+    # Few and small rows stand for many bytes, so their number of tasks is not left to AQE.
+    return parts.select(*names).repartitionByRange(tasks, "store", "begin", "a").mapInArrow(run, SCHEMA)
+
+
 def carve_sentences(ranges: DataFrame) -> DataFrame:
     """GPS sentences with a right checksum, a valid state and a place; the first of each (date, UTC) of a file.
 
@@ -109,10 +164,11 @@ def carve_sentences(ranges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = []
             for path, at, length, content in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                rows = [(path, at + r[0], *r[1:]) for r in rmc_sentences(content) if r[0] < length]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows += [(path, at + r[0], *r[1:]) for r in rmc_sentences(content) if r[0] < length]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     schema = "path string, at long, gps_date string, gps_utc_time string, latitude double, longitude double, speed_kmh double"
     found = ranges.select("path", "at", "length", "content").mapInArrow(run, schema)
@@ -129,6 +185,7 @@ def zero_runs(ranges: DataFrame, block: int = ZERO_BLOCK, least: int = ZERO_RUN)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero = bytes(block)
         for b in batches:
+            all_found = []
             for path, at, length, content in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if at % block:
                     raise ValueError("ranges must be whole blocks")
@@ -140,9 +197,10 @@ def zero_runs(ranges: DataFrame, block: int = ZERO_BLOCK, least: int = ZERO_RUN)
                             found[-1][1] = at + i + len(piece)
                         else:
                             found.append([at + i, at + i + len(piece)])
-                if found:
-                    starts, ends = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["path", "a", "b"])
+                all_found += [(path, *x) for x in found]
+            if all_found:
+                paths, starts, ends = zip(*all_found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["path", "a", "b"])
 
     parts = ranges.select("path", "at", "length", "content").mapInArrow(run, "path string, a long, b long")
     return merge_regions(parts, keys=("path",)).filter(F.col("b") - F.col("a") >= least)

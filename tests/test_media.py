@@ -52,6 +52,30 @@ def test_sentences_do_not_depend_on_ranges(spark, files, size):
     assert len(got) == len(expected) > 20
 
 
+def test_members_of_one_file_are_files_of_their_own(spark, files, tmp_path):
+    """Files put one after another give what they give alone: ranges, overlaps, runs and repeats end with a member."""
+    _, data = files
+    members, whole = [], b""
+    for name, content in data.items():
+        members.append((f"file://{tmp_path}/all.bin", name, len(whole), len(content)))
+        whole += content
+    (tmp_path / "all.bin").write_bytes(whole)
+    table = spark.createDataFrame(members, "path string, name string, begin long, size long")
+    expected, zeros = set(), set()
+    for name, content in data.items():
+        seen = {}
+        for at, date, utc, *_ in rmc_sentences(content):
+            seen.setdefault((date, utc), (name, at))
+        expected |= set(seen.values())
+        blocks = [i for i in range(0, len(content), 32) if not any(content[i : i + 32])]
+        zeros |= {(name, i) for i in blocks}
+    for size in (96, 4 << 20):
+        got = byte_ranges.carve_sentences(byte_ranges.read_members(table, size, byte_ranges.SENTENCE_BYTES)).collect()
+        assert {(r["path"], r["at"]) for r in got} == expected and len(got) == len(expected) > 20
+        runs = byte_ranges.zero_runs(byte_ranges.read_members(table, size), block=32, least=1).collect()
+        assert {(r["path"], i) for r in runs for i in range(r["a"], r["b"], 32)} == zeros and zeros
+
+
 @pytest.mark.parametrize("size", [32, 96, 1 << 20])
 def test_zero_runs_do_not_depend_on_ranges(spark, files, size):
     folder, data = files
