@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import history, reopen
+from fleetlens.operators import damage, history, reopen
 from fleetlens.sources import documents
 
 from .tracks import track
@@ -78,6 +78,18 @@ def test_residue_of_another_recording_goes_to_the_slack(spark):
     assert (points.count(), slack.count()) == (4, 3)
 
 
+def test_damage_of_both_modes_is_replayed_in_one_pass(spark, monkeypatch):
+    points = track(spark, [r for i, r in enumerate(rows(20)) if not 5 <= i < 8], 1).union(track(spark, [r for i, r in enumerate(rows(20)) if not 5 <= i < 8], 2))
+    regions = spark.createDataFrame([(c, 4500, 7500, "gap") for c in (1, 2)], "case_id long, a long, b long, kind string")
+    lengths = spark.createDataFrame([(c, 20.0, False) for c in (1, 2)], "case_id long, duration_sec double, truncated boolean")
+    reports = reopen.report_of(regions, lengths, "interpolate").filter("case_id = 1").union(reopen.report_of(regions, lengths, "none").filter("case_id = 2"))
+    calls, real = [], damage.synthetic_rows
+    monkeypatch.setattr(damage, "synthetic_rows", lambda *a: calls.append(1) or real(*a))
+    out = reopen.apply_report(points, reports).filter("recovery_state <> ''").collect()
+    assert sorted((r["case_id"], r["start_time_sec"], r["recovery_state"]) for r in out) == [(c, t, s) for c, s in ((1, "interpolated"), (2, "damaged")) for t in (5.0, 6.0, 7.0)]
+    assert len(calls) == 1
+
+
 def test_replayed_damage_is_the_same_again_and_again(spark, tmp_path):
     points = track(spark, [r for i, r in enumerate(rows(40)) if not 10 <= i < 15])
     regions = spark.createDataFrame([(1, 9500, 14500, "gap")], "case_id long, a long, b long, kind string")
