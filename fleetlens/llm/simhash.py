@@ -252,21 +252,22 @@ def similar_rows(
     then the sets themselves.
     """
 
-    @F.pandas_udf("same binary, fp binary, free binary")
+    @F.pandas_udf("same binary, n int, fp binary, free binary")
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            same, fp, free = [], [], []
+            same, n, fp, free = [], [], [], []
             for k in range(0, len(texts), AT_ONCE):
                 sets = [shingle_set(t, shingle, seed) for t in texts.iloc[k : k + AT_ONCE]]
                 fps, masks = wide_fingerprints(sets)
                 same += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                n += [len(s) for s in sets]
                 fp += [x.tobytes() for x in fps]
                 free += [x.tobytes() for x in masks]
-            yield pd.DataFrame({"same": same, "fp": fp, "free": free})
+            yield pd.DataFrame({"same": same, "n": n, "fp": fp, "free": free})
 
     marked = stored(keyed.select(ROW, mark("text").alias("m")).select(ROW, "m.*"), "marked")
     worded = marked.filter("same is not null")
-    distinct = stored(worded.groupBy("same").agg(F.min(ROW).alias("node"), F.first("fp").alias("fp"), F.first("free").alias("free")), "distinct")
+    distinct = stored(worded.groupBy("same").agg(F.min(ROW).alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("free").alias("free")), "distinct")
 
     def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -336,7 +337,10 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 
 
 class _Sets:
-    """Verifies pairs on complete fingerprints, then on the sets of the texts that are still in question."""
+    """Verifies pairs on sizes and complete fingerprints, then on the sets of the texts that are still in question.
+
+    Two sets a pair are too wide for batches that go to Python, where thousands of pairs make one; arrays stay in the JVM, a pair at a time.
+    """
 
     def __init__(self, keyed: DataFrame, distinct: DataFrame, shingle: int, seed: int, max_distance: int, similarity: float):
         self.keyed, self.distinct = keyed, distinct
@@ -344,32 +348,25 @@ class _Sets:
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """(a, b): pairs of (node, other) whose sets share enough."""
-        most, least, shingle, seed = self.max_distance, self.similarity, self.shingle, self.seed
-        fps = self.distinct.select("node", "fp")
+        most, shingle, seed, least = self.max_distance, self.shingle, self.seed, F.lit(self.similarity)
+        fps = self.distinct.select("node", "n", "fp")
 
         @F.pandas_udf("boolean")
         def close(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series(np.bitwise_count(_matrix(x, WIDE_WORDS) ^ _matrix(y, WIDE_WORDS)).sum(axis=1) <= most)
 
-        both = pairs.join(fps, "node").join(fps.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")), "other")
+        both = pairs.join(fps, "node").join(fps.select(F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("fp").alias("other_fp")), "other")
+        both = both.filter(F.least("n", "other_n") >= least * F.greatest("n", "other_n"))
         near = materialize(both.filter(close("fp", "other_fp")).select("node", "other"))
         asked = near.select("node").union(near.select("other")).distinct()
 
-        @F.pandas_udf("binary")
-        def as_set(texts: pd.Series) -> pd.Series:
-            return pd.Series([shingle_set(t, shingle, seed).tobytes() for t in texts])
+        @F.pandas_udf("array<long>")
+        def as_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([shingle_set(t, shingle, seed).view("<i8") for t in texts], dtype=object)
 
         texts = few_or_shuffled(self.keyed.select(F.col(ROW).alias("node"), "text"), asked, "node", "left_semi")
         sets = stored(texts.select("node", as_set("text").alias("own")), "sets")
-
-        @F.pandas_udf("boolean")
-        def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-            out = []
-            for a, b in zip(x, y, strict=True):
-                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-                common = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
-                out.append(common >= least * (len(a) + len(b) - common))
-            return pd.Series(out, dtype=bool)
-
         both = near.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("own").alias("other_own")), "other")
-        return materialize(both.filter(similar("own", "other_own")).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        both = both.select("node", "other", (F.size("own") + F.size("other_own")).alias("all"), F.size(F.array_intersect("own", "other_own")).alias("common"))
+        return materialize(both.filter(F.col("common") >= least * (F.col("all") - F.col("common"))).select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -591,3 +591,14 @@ def test_texts_left_apart_at_a_point_all_meet(spark, monkeypatch):
     out = simhash._apart(rows, spark.createDataFrame(list(roots.items()), "node long, root long")).collect()
     expected = [tuple(sorted((a, b))) for nodes in at.values() for k, a in enumerate(nodes) for b in nodes[:k] if roots.get(a, a) != roots.get(b, b)]
     assert sorted(tuple(sorted(x)) for x in out) == sorted(expected)
+
+
+def test_sets_are_compared_without_batches_of_pairs(spark, monkeypatch):
+    """Two sets a pair never go to Python: a batch of long texts' pairs has no bound there."""
+    plans = []
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.localCheckpoint())
+    texts = [prose(1, 300, 5000), prose(2, 300, 5000)]
+    near = [" ".join([*t.split()[:-1], "changed"]) for t in texts]
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs_of(spark, texts + near)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+    compared = [p for p in plans if "own" in p]
+    assert compared and not any("PythonUDF" in p or "ArrowEvalPython" in p for p in compared)
