@@ -11,9 +11,11 @@ from ..functions.strings import strip
 from ..functions.texts import parse_offset
 from ..operators.sequence import forward_fill, with_row_idx
 from ..schema import TRACK_FIELDS
+from .shared import checkpointed
 
 #: Columns of each contract that differ in name from the track's.
 TIMELINE = {"gps_abs_time": "abs_time", "gps_elapsed": "gps_elapsed_sec"}
+SHEET_ROWS = 1_000_000
 COORDINATES = {"gps_abs_time": "abs_time", "gps_elapsed": "elapsed_delta_sec", "gps_date": "date", "gps_utc_time": "utc_time", "gps_checksum_ok": "checksum_ok", "gps_trusted": "trusted", "gps_status": "status"}
 
 
@@ -120,10 +122,13 @@ def last_tagged_json(lines: DataFrame, tag: str, schema: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def write_location_csv(rows: DataFrame, path: str) -> None:
-    """One table as CSV for spreadsheets: UTF-8 with a mark on the first header."""
+def write_location_csv(rows: DataFrame, path: str, most: int = SHEET_ROWS) -> None:
+    """A table as CSV for spreadsheets: UTF-8 with a mark on the first header of every file. Rows beyond ``most`` go to further files, as a sheet holds no more."""
     first, *rest = rows.columns
-    rows.select(F.col(first).alias("﻿" + first), *rest).coalesce(1).write.option("header", True).csv(path)
+    rows = checkpointed(rows)
+    files = -(-rows.count() // most)
+    parts = rows.repartitionByRange(files, first) if files > 1 else rows.coalesce(1)
+    parts.select(F.col(first).alias("﻿" + first), *rest).write.option("header", True).option("maxRecordsPerFile", most).csv(path)
 
 
 def write_timeline(points: DataFrame, path: str) -> None:

@@ -69,3 +69,22 @@ def test_binary_files(spark, tmp_path):
     run = files.zero_runs(f).first()
     assert run["b"] - run["a"] >= 1 << 18
     assert files.hashes(f).count() == files.sample_digest(f).count() == 2
+
+
+def test_csv_files_are_written_by_many_tasks(spark, tmp_path):
+    """Neither the slack files nor the table for spreadsheets pass through one task, and all rows come back."""
+    from fleetlens.plans import queries_small
+    from fleetlens.sources import rows as R
+
+    rows = spark.range(0, 900, 1, 6).selectExpr("id", "concat('deep.f', id % 2) AS _f")
+    queries_small._named_csv(rows, str(tmp_path / "slack"), "slack.csv", "_f")
+    found = list((tmp_path / "slack").rglob("slack.csv"))
+    assert len(found) == 12 and all("/deep/f" in str(f) for f in found)
+    assert R.read_csv(spark, str(tmp_path / "slack"), "slack.csv").selectExpr("sum(cast(id as long))").first()[0] == sum(range(900))
+    queries_small._named_csv(rows.limit(0), str(tmp_path / "none"), "slack.csv", "_f")
+    assert R.read_csv(spark, str(tmp_path / "none"), "slack.csv").count() == 0
+
+    R.write_location_csv(rows, str(tmp_path / "sheet"), most=250)
+    sheets = [f.read_text("utf-8") for f in (tmp_path / "sheet").glob("part-*")]
+    assert len(sheets) > 3 and all(t.startswith("﻿id,_f\n") and t.count("\n") <= 251 for t in sheets)
+    assert sum(t.count("\n") - 1 for t in sheets) == 900
