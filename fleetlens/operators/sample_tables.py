@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 DAY = 86_400
 MAX_STEP_SEC = 5
 LEAST_SEC = 5
+#: Rows that a task puts in order at a time, about 200 MB.
+TASK_ROWS = 2_000_000
 
 
 def as_of(rows: DataFrame, steps: DataFrame, key: str, at: str, value: Column) -> DataFrame:
@@ -118,13 +120,18 @@ def clock_rates(clocks: DataFrame, frames: DataFrame, gaps: DataFrame) -> DataFr
     between do not count, and a rate needs 5 s. All three stand in one order of
     places with running counts; nothing is searched.
     """
-    none = F.lit(None).cast("double")
-    marks = clocks.select("case_id", "at", F.col("utc").cast("double").alias("utc"), F.lit("clock").alias("kind"))
-    marks = marks.unionByName(frames.select("case_id", "at", none.alias("utc"), F.lit("frame").alias("kind"))).unionByName(gaps.select("case_id", "at", none.alias("utc"), F.lit("gap").alias("kind")))
+    def marked(rows: DataFrame, utc: Column, kind: int) -> DataFrame:
+        return rows.select("case_id", "at", utc.cast("double").alias("utc"), F.lit(kind).cast("byte").alias("kind"))
+
+    kinds = {"clock": 0, "frame": 1, "gap": 2}
+    marks = marked(clocks, F.col("utc"), 0).unionByName(marked(frames, F.lit(None), 1)).unionByName(marked(gaps, F.lit(None), 2))
+    # Frames are many and small, and shuffled so well packed that a task by bytes would sort too many of them.
+    n = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marks.count() // TASK_ROWS))
+    marks = marks.repartition(n, "case_id")
     # A reading comes before what begins at its own place.
-    order = Window.partitionBy("case_id").orderBy("at", F.col("kind") != "clock")
+    order = Window.partitionBy("case_id").orderBy("at", F.col("kind") != kinds["clock"])
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = marks.withColumns({k: F.count_if(F.col("kind") == k).over(so_far) for k in ("frame", "gap")}).filter("kind = 'clock'")
+    rows = marks.withColumns({k: F.count_if(F.col("kind") == kinds[k]).over(so_far) for k in ("frame", "gap")}).filter(F.col("kind") == kinds["clock"])
     w = Window.partitionBy("case_id").orderBy("at")
     rows = rows.withColumn("_was", F.lag("utc").over(w)).filter("_was is null or _was <> utc")
     step = F.col("utc") - F.lag("utc").over(w)

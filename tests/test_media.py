@@ -158,3 +158,13 @@ def test_frames_between_clock_readings(spark):
     assert (row["span_sec"], row["frames"], row["seconds"], row["fps"]) == (104.0, 300, 10.0, 30.0)
     none = sample_tables.clock_rates(spark.createDataFrame([(1, 0, 5)], schema + ", utc int"), spark.createDataFrame(frames, schema), spark.createDataFrame([], schema)).first()
     assert (none["span_sec"], none["fps"]) == (0.0, None)
+
+
+def test_frames_of_many_cases_are_ordered_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sample_tables, "TASK_ROWS", 100)
+    frames = spark.range(0, 40 * 50).selectExpr("id div 50 AS case_id", "id % 50 * 10 + 5 AS at")
+    clocks = spark.range(0, 40 * 10).selectExpr("id div 10 AS case_id", "id % 10 * 50 AS at", "cast(id % 10 AS int) AS utc")
+    out = sample_tables.clock_rates(clocks, frames, frames.limit(0))
+    assert {tuple(x) for x in out.select("span_sec", "frames", "seconds", "fps").collect()} == {(9.0, 45, 9.0, 5.0)} and out.count() == 40
+    assert "REPARTITION_BY_NUM, [plan_id" in out._jdf.queryExecution().executedPlan().toString() and "case_id#" in out.columns[0] + "#"
+    assert any(f", {n})" in out._jdf.queryExecution().executedPlan().toString() for n in (24, 25))
