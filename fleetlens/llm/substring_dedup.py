@@ -81,28 +81,55 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(32))
 
 
+_own: dict[str, np.ndarray] = {}
+
+
+def _scratch(name: str, n: int) -> np.ndarray:
+    """A worker's memory for one of its arrays, used again for every piece: fresh pages cost more time than the work on them."""
+    if name not in _own or len(_own[name]) < n:
+        _own[name] = np.empty(max(n, PIECE + 4 * MARGIN), np.uint64)
+    return _own[name][:n]
+
+
 class Hashes:
-    """Hashes of any substrings of a piece, from running sums."""
+    """Hashes of any substrings of a piece, from running sums, which the next piece's replace."""
 
     def __init__(self, data: np.ndarray):
         self.power, self.inverse = _power_tables()
+        terms, self.sums = _scratch("terms", len(data)), _scratch("sums", len(data) + 1)
+        with np.errstate(over="ignore"):
+            np.add(data, np.uint64(1), out=terms, dtype=np.uint64)
+            terms *= self.power[: len(data)]
+            self.sums[0] = 0
+            np.cumsum(terms, out=self.sums[1:])
+
+    def of_all(self, width: int) -> np.ndarray:
+        """Those of all substrings of ``width`` bytes, in memory that is used again."""
+        n = len(self.sums) - width
+        z, shifted = _scratch("all", n), _scratch("terms", n)
         with np.errstate(over="ignore"):
-            terms = (data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)]
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+            np.subtract(self.sums[width:], self.sums[:-width], out=z)
+            z *= self.inverse[:n]
+            for by, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, None)):
+                np.right_shift(z, np.uint64(by), out=shifted)
+                z ^= shifted
+                if factor:
+                    z *= np.uint64(factor)
+        return z
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
-def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
-    """Minimum or maximum over every window of ``width``."""
-    span, out = 1, a
+def _slide(a: np.ndarray, width: int, best, name: str) -> np.ndarray:
+    """Minimum or maximum over every window of ``width``, in memory that is used again."""
+    span, out, turn = 1, a, 0
     while span * 2 <= width:
-        out = best(out[:-span], out[span:])
-        span *= 2
+        out = best(out[:-span], out[span:], out=_scratch(f"{name}{turn}", len(out) - span))
+        span, turn = span * 2, 1 - turn
     n = len(a) - width + 1
-    return best(out[:n], out[width - span : width - span + n])
+    return best(out[:n], out[width - span : width - span + n], out=_scratch(f"{name}{turn}", n))
 
 
 def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -117,13 +144,15 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     hashes = Hashes(data)
-    at = np.arange(len(data) - ANCHOR + 1)
-    h = hashes.of(at, at + ANCHOR) | np.uint64(1)
-    low = _slide(h, width, np.minimum)
+    h = hashes.of_all(ANCHOR)
+    h |= np.uint64(1)
+    low = _slide(h, width, np.minimum, "low")
     for e in ends[:-1].tolist():
         low[max(0, e - LENGTH + 1) : e] = 0
-    pad = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), width, np.maximum) == h)
+    padded = _scratch("padded", len(low) + 2 * (width - 1))
+    padded[: width - 1] = padded[-width + 1 :] = 0
+    padded[width - 1 : -width + 1] = low
+    chosen = np.flatnonzero(_slide(padded, width, np.maximum, "high") == h)
     text = np.searchsorted(ends, chosen, side="right")
     start = (ends - sizes)[text]
     lo, hi = np.maximum(chosen - SIDE, start), np.minimum(chosen + LENGTH, ends[text])

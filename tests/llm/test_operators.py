@@ -602,3 +602,16 @@ def test_sets_are_compared_without_batches_of_pairs(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs_of(spark, texts + near)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
     compared = [p for p in plans if "own" in p]
     assert compared and not any("PythonUDF" in p or "ArrowEvalPython" in p for p in compared)
+
+
+def test_anchors_of_a_piece_use_the_memory_of_the_last_one():
+    """Arrays of a worker are made once; what a piece has given does not change with the next."""
+    pieces = [[prose(i, 400).encode(), b"short", prose(i + 50, 90).encode()] for i in range(3)]
+    first = substring_dedup._anchors(pieces[0])
+    kept = [x.copy() for x in first]
+    own = {k: id(v) for k, v in substring_dedup._own.items()}
+    for p in pieces[1:]:
+        substring_dedup._anchors(p)
+    assert own and {k: id(v) for k, v in substring_dedup._own.items()} == own
+    assert all((a == b).all() for a, b in zip(first, kept, strict=True))
+    assert all((a == b).all() for a, b in zip(substring_dedup._anchors(pieces[0]), kept, strict=True))
