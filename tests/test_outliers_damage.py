@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import damage, linkage, outliers, report
+from fleetlens.operators import damage, linkage, outliers, report, sequence
+from fleetlens.sources.shared import checkpointed
 
 from .tracks import speeds, track
 
@@ -42,6 +43,26 @@ def test_pieces_of_many_cases_share_tasks(spark):
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
 
 
+def test_marking_makes_columns_once_and_writes_groups_only(spark, monkeypatch):
+    """A filter below the windows would repeat what columns are made of, and rows of groups were written before they were grouped."""
+    points = speeds(spark, [30, 150, 150, 30, 30, 31, 120, 31, 30, 30]).withColumn("latitude", F.sinh("latitude") / 1e16 + 37)
+    plan = sequence.record_rows(points)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SINH(") == 1
+    written = []
+    monkeypatch.setattr(outliers, "checkpointed", lambda df: written.append(df.columns) or checkpointed(df))
+    assert marked(points) == [1, 2, 6]
+    assert len(written) == 4 and all("group_id" in c for c in written)
+
+
+def test_a_mark_ends_with_its_group(spark):
+    """Rows between and after a marked group's rows that are no records of it stay as they are."""
+    rows = [{"t": float(i), "v": 30.0} for i in range(8)]
+    rows[3] = {"t": 3.0, "v": 120.0, "lat": 37.5}
+    rows[4] = {"t": 4.0, "v": None, "lat": None, "lon": None, "utc": "", "ok": False}
+    rows[5] = {"t": 3.0, "v": 120.0, "lat": 37.5}
+    assert marked(track(spark, rows)) == [3, 5]
+
+
 def test_impossible_values(spark):
     rows = [{"t": float(i), "v": 10.0, "lat": lat, "lon": lon} for i, (lat, lon) in enumerate([(float("nan"), 127.0), (91.0, 127.0), (0.0, 0.0), (37.5, 127.0)])]
     assert marked(track(spark, rows)) == [0, 1, 2]
