@@ -168,7 +168,9 @@ WIDE_SHINGLE = 5
 EVERY_PAIR = 8
 #: Most central texts that each text of larger points is compared with.
 HEADS = 4
-#: Texts of a block of a larger point whose groups are still apart; every two blocks are compared.
+#: In crowds of so many, texts whose groups are still apart are all compared; in larger ones by what they have and the most central text has not.
+SMALL_CROWD = 16
+#: Texts of a block of a crowd whose groups are still apart; every two blocks are compared.
 PAIR_BLOCK = 256
 #: Texts that are fingerprinted at a time, which bounds a worker's memory.
 AT_ONCE = 500
@@ -246,10 +248,9 @@ def similar_rows(
     neighbour at the smallest one; what this leaves outside the group of the most
     central one is compared the same way among itself. At the other points all
     texts are compared that crowds have not yet put into one group. In the end all
-    texts that still meet in a crowd from different groups are compared, block by
-    block, so no link is lost to the order of comparing; only what is left apart
-    there grows with its square. The complete fingerprints are verified first,
-    then the sets themselves.
+    texts that still meet in a crowd from different groups are compared, in large
+    ones those that can be alike (``_Central``), so no link is lost to the order
+    of comparing. The complete fingerprints are verified first, then the sets themselves.
     """
 
     @F.pandas_udf("same binary, n int, fp binary, free binary")
@@ -306,9 +307,12 @@ def similar_rows(
     if more.limit(1).count():
         found = stored(found.union(more), "links")
         parts = materialize(connected_components(found))
-    # What crowds hold in different groups even then is compared in full.
+    # What crowds hold in different groups even then is compared in full, in large ones where it can be alike.
     asked = candidates.union(further)
-    last = sets.alike(_pairs(_apart(met.filter(crowded), parts)).join(asked, ["node", "other"], "left_anti"))
+    central = sets.by_centre(_centres(met.filter(F.col("n") > SMALL_CROWD), parts))
+    apart = _apart(met.filter(crowded & (F.col("n") <= SMALL_CROWD)), parts).union(central.may_be_alike())
+    last = sets.alike(_pairs(apart).join(asked, ["node", "other"], "left_anti"))
+    last = stored(last.union(central.alike()).distinct(), "last-links")
     if last.limit(1).count():
         parts = connected_components(stored(found.union(last), "links"))
     named = distinct.join(parts, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
@@ -330,6 +334,18 @@ def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return met.select("node", "other")
 
 
+def _centres(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, root, centre) of texts at points of rows(point, node, crowd) that hold several groups: of all texts that such points bring together the most central one."""
+    at = Window.partitionBy("point")
+    rooted = rows.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.withColumn("low", F.min("root").over(at)).withColumn("high", F.max("root").over(at)).filter("low <> high")
+    met = materialize(rooted.withColumn("first", F.min("node").over(at)).select("node", "root", "crowd", "first").distinct())
+    families = materialize(connected_components(met.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    own = met.select("node", "root", "crowd").distinct().join(families.withColumnRenamed("root", "family"), "node")
+    centres = own.groupBy("family").agg(F.max_by("node", F.struct("crowd", "node")).alias("centre"))
+    return materialize(own.join(centres, "family").select("node", "root", "centre"))
+
+
 def _pairs(pairs: DataFrame) -> DataFrame:
     """Pairs of different nodes, each once, the larger one first."""
     pairs = pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
@@ -358,7 +374,14 @@ class _Sets:
         both = pairs.join(fps, "node").join(fps.select(F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("fp").alias("other_fp")), "other")
         both = both.filter(F.least("n", "other_n") >= least * F.greatest("n", "other_n"))
         near = materialize(both.filter(close("fp", "other_fp")).select("node", "other"))
-        asked = near.select("node").union(near.select("other")).distinct()
+        sets = self.of(near.select("node").union(near.select("other")).distinct())
+        both = near.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("own").alias("other_own")), "other")
+        both = both.select("node", "other", (F.size("own") + F.size("other_own")).alias("all"), F.size(F.array_intersect("own", "other_own")).alias("common"))
+        return materialize(both.filter(F.col("common") >= least * (F.col("all") - F.col("common"))).select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """(node, own): sets of the texts asked for, stored."""
+        shingle, seed = self.shingle, self.seed
 
         @F.pandas_udf("array<long>")
         def as_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -366,7 +389,52 @@ class _Sets:
                 yield pd.Series([shingle_set(t, shingle, seed).view("<i8") for t in texts], dtype=object)
 
         texts = few_or_shuffled(self.keyed.select(F.col(ROW).alias("node"), "text"), asked, "node", "left_semi")
-        sets = stored(texts.select("node", as_set("text").alias("own")), "sets")
-        both = near.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("own").alias("other_own")), "other")
-        both = both.select("node", "other", (F.size("own") + F.size("other_own")).alias("all"), F.size(F.array_intersect("own", "other_own")).alias("common"))
-        return materialize(both.filter(F.col("common") >= least * (F.col("all") - F.col("common"))).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        return stored(texts.select("node", as_set("text").alias("own")), "sets")
+
+    def by_centre(self, rows: DataFrame) -> _Central:
+        """Texts of rows(node, root, centre) as their centres see them."""
+        sets = self.of(rows.select("node").union(rows.select("centre")).distinct())
+        both = rows.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("own").alias("centre_own")), "centre")
+        both = both.select("*", F.size("own").alias("n"), F.size("centre_own").alias("centre_n"), F.size(F.array_intersect("own", "centre_own")).alias("common"))
+        differs = F.concat(F.array_except("own", "centre_own"), F.array_except("centre_own", "own"))
+        seen = both.select("node", "root", "centre", "n", "centre_n", "common", differs.alias("differs"))
+        return _Central(stored(seen, "seen"), self.similarity)
+
+
+class _Central:
+    """Texts of crowds against a central text c of their own, which decides what pairs (x, y) need comparing.
+
+    Where x and y differ from c in no common shingle, all that x and y share is in c and all of c
+    is in x or y, so x and y are no more alike than x and c, or y and c. Pairs of which both are
+    alike to c are in its group. So the others are found by a shingle in which both differ from c:
+    those by which near copies differ are rare, and what most of a crowd has is not among them.
+    Two sets that are alike differ in ``(1 - s) / (1 + s)`` of their sizes' sum at most, so so many
+    of their differences from c are common, and the first common one, rarest first, has the others after it.
+    """
+
+    def __init__(self, seen: DataFrame, similarity: float):
+        self.seen, self.similarity = seen, similarity
+        self.linked = F.col("common") >= F.lit(similarity) * (F.col("n") + F.col("centre_n") - F.col("common"))
+
+    def alike(self) -> DataFrame:
+        """(a, b): texts of another group that share enough with their centre, by the sets alone."""
+        roots = self.seen.filter("node = centre").select("centre", F.col("root").alias("centre_root"))
+        found = self.seen.filter(self.linked & (F.col("node") != F.col("centre"))).join(roots, "centre")
+        return found.filter("root <> centre_root").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+
+    def may_be_alike(self) -> DataFrame:
+        """(node, other) of different groups."""
+        s = self.similarity
+        rows = self.seen.select("centre", "node", "root", "n", F.size("differs").alias("d"), self.linked.alias("linked"), F.explode("differs").alias("item"))
+        item = Window.partitionBy("centre", "item")
+        place = F.row_number().over(Window.partitionBy("centre", "node").orderBy("f", "item"))
+        seen = [F.count("*").over(item).alias("f"), F.min("d").over(item).alias("least"), F.min("root").over(item).alias("low"), F.max("root").over(item).alias("high")]
+        after = rows.select("*", *seen).withColumn("after", F.col("d") - place + 1)
+        # Of items in one group only, or behind which too little is left for any partner, nothing comes.
+        enough = F.col("after") >= F.ceil((F.col("d") + F.col("least") - (1 - s) / s * F.col("n")) / 2 - 1e-6)
+        after = stored(after.filter(F.col("low") != F.col("high")).filter(enough).select("centre", "item", "node", "root", "n", "d", "linked", "after"), "differences")
+        other = after.select("centre", "item", *[F.col(c).alias("other" if c == "node" else f"other_{c}") for c in ("node", "root", "n", "d", "linked", "after")])
+        shared = F.ceil((F.col("d") + F.col("other_d") - (1 - s) / (1 + s) * (F.col("n") + F.col("other_n"))) / 2 - 1e-6)
+        fits = (F.least("n", "other_n") >= s * F.greatest("n", "other_n") - 1e-6) & (F.least("after", "other_after") >= shared)
+        apart = (F.col("root") != F.col("other_root")) & (F.col("node") < F.col("other")) & ~(F.col("linked") & F.col("other_linked"))
+        return after.join(other, ["centre", "item"]).filter(apart & fits).select("node", "other").distinct()

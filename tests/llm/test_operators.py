@@ -593,6 +593,38 @@ def test_texts_left_apart_at_a_point_all_meet(spark, monkeypatch):
     assert sorted(tuple(sorted(x)) for x in out) == sorted(expected)
 
 
+def test_a_crowd_is_not_compared_with_itself_in_full(spark):
+    """Seen from a central text every link is a link to it or among few pairs, whether or not the text all copy is there; the pairs of a crowd were all made."""
+    r = random.Random(5)
+    base = prose(3, 60).split()
+    texts = []
+    for k in range(240):
+        words = list(base)
+        for at in r.sample(range(60), r.choice((1, 2, 2, 3))):
+            words[at] = f"w{r.randrange(6)}" if k % 9 == 0 else f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words[: 60 - k % 3 * r.choice((0, 0, 8))]))
+    sets = [simhash.shingle_set(t) for t in texts]
+
+    def common(i, j):
+        return len(np.intersect1d(sets[i], sets[j]))
+
+    def alike(i, j):
+        return common(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - common(i, j))
+
+    keyed = spark.createDataFrame(list(enumerate(texts)), f"{simhash.ROW} long, text string")
+    all_sets = simhash._Sets(keyed, keyed, 5, 42, 126, 0.8)
+    links = [(i, j) for j in range(240) for i in range(j) if alike(i, j)]
+    for centre in (0, 1, 9):
+        rows = spark.createDataFrame([(i, i, centre) for i in range(240)], "node long, root long, centre long")
+        seen = all_sets.by_centre(rows)
+        near = {a for a, _ in seen.alike().collect()}
+        assert near == {i for i in range(240) if i != centre and alike(i, centre)}
+        near.add(centre)
+        pairs = {tuple(x) for x in seen.may_be_alike().collect()}
+        assert all((i, j) in pairs for i, j in links if not (i in near and j in near))
+        assert len(pairs) < 240 * 239 / 2 / 4 and len(links) > 200
+
+
 def test_sets_are_compared_without_batches_of_pairs(spark, monkeypatch):
     """Two sets a pair never go to Python: a batch of long texts' pairs has no bound there."""
     plans = []
