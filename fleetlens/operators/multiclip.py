@@ -27,10 +27,16 @@ POSITION_SLACK_M = 50.0
 MIN_REACH_KMH = 10.0
 
 
+def clocked(points: DataFrame) -> DataFrame:
+    """``points`` with ``_clock``, seconds since 1970 by the GPS; a table that is written with it reads the texts once."""
+    if "_clock" in points.columns:
+        return points
+    return points.withColumn("_clock", TM.date_days(F.col("gps_date")) * TM.DAY + TM.utc_seconds(F.col("gps_utc_time")))
+
+
 def clip_starts(points: DataFrame) -> DataFrame:
     """(clip_id, gps_start): upper median of clock minus playback time over the first seven different records of a clip with a fix."""
-    clock = TM.date_days(F.col("gps_date")) * TM.DAY + TM.utc_seconds(F.col("gps_utc_time"))
-    rows = points.filter(P.has_fix() & P.not_false("gps_checksum_ok") & F.col("start_time_sec").isNotNull()).withColumn("_clock", clock).filter("_clock is not null")
+    rows = clocked(points).filter(P.has_fix() & P.not_false("gps_checksum_ok") & F.col("start_time_sec").isNotNull() & F.col("_clock").isNotNull())
     first = rows.groupBy("clip_id", "_clock").agg(F.min(F.struct("row_idx", (F.col("_clock") - F.col("start_time_sec")).alias("off"))).alias("r"))
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("clip_id").orderBy("r.row_idx"))).filter(F.col("n") <= START_FIXES)
     by = first.groupBy("clip_id").agg(F.array_sort(F.collect_list("r.off")).alias("o"))
@@ -71,8 +77,7 @@ def checked(found: DataFrame, probes: DataFrame, points: DataFrame) -> DataFrame
         rows = rows.join(one.select("job_id", F.col("clip_id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"), F.col("at").alias(f"{p}_at"), F.col("side").alias(p)), ["job_id", f"{p}_id"])
     rows = rows.withColumn("pair_id", F.struct("job_id", "front_id", "rear_id"))
     files = pairs.compare_pairs(rows).select("pair_id", "problems")
-    clock = TM.date_days(F.col("gps_date")) * TM.DAY + TM.utc_seconds(F.col("gps_utc_time"))
-    track = points.withColumn("clock", clock)
+    track = clocked(points).withColumnRenamed("_clock", "clock")
     members = [track.join(rows.select("pair_id", F.col(f"{p}_id").alias("clip_id")), "clip_id") for p in ("front", "rear")]
     by_gps = linkage.pair_gps(*members, "clock").select("pair_id", F.when(F.col("verdict") != "ok", F.col("verdict")).alias("gps"))
     out = rows.join(files, "pair_id").join(by_gps, "pair_id", "left")

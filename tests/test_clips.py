@@ -114,3 +114,12 @@ def test_rears_of_every_vehicle_by_time(spark):
     expected = {(f, r) for f, (a, x) in starts.items() for r, (b, y) in starts.items() if a % 2 == 0 and b % 2 == 1 and abs(x - y) <= 3}
     got = [(x["front_id"], x["rear_id"]) for x in linkage.rear_by_time(*queries_clips._all_starts(points)).collect()]
     assert sorted(got) == sorted(expected) and {(f // 100, r // 100) for f, r in got} == {(2, 41), (22, 41)}
+
+
+def test_a_clock_that_is_written_is_not_read_from_texts_again(spark):
+    """The clock of every row was parsed once for its filter and once for each use."""
+    points = track(spark, [{"t": float(i), "v": 30.0} for i in range(9)]).withColumn("clip_id", F.col("case_id"))
+    written = multiclip.clocked(points).localCheckpoint()
+    starts = multiclip.clip_starts(written)
+    assert "gps_date" not in starts._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert starts.collect() == multiclip.clip_starts(points).collect() != []
