@@ -16,6 +16,8 @@ _recorders: list[list[str]] = []
 ROW = "_row_key"
 #: Keys of 8 bytes that are broadcast (about 40 MB on an executor); a checkpointed side has no size that Spark could judge by.
 BROADCAST_KEYS = 1_000_000
+#: Links of 16 bytes that a task of ``connected_components`` reads.
+LINKS_A_TASK = 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,15 +141,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = materialize(directed(edges))
     seen = state(current)
     for _ in range(max_rounds):
-        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Few links need few tasks, however many partitions a shuffle has.
+        tasks = seen[0] // LINKS_A_TASK + 1
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = current.coalesce(tasks).select(F.inline(F.array(F.struct("a", "b"), turned)))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # Large star: every larger neighbour of a node points to the node's smallest neighbour.
+        # Large star: every larger neighbour of a node points to the node's smallest neighbour, a row for each link.
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = directed(large)
         # Small star: a node and its smaller neighbours point to the smallest of them.
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = materialize(directed(small.union(small_low.select("a", F.col("m").alias("b")))))
+        small = large.join(small_low, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))))
+        current = materialize(directed(small).coalesce(tasks))
         now = state(current)
         if now == seen:
             break

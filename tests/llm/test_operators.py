@@ -77,6 +77,25 @@ def test_components(spark):
     assert got == {x: low[find(x)] for x in nodes}
 
 
+def test_components_of_few_links_take_few_tasks(spark):
+    sc, conf = spark.sparkContext, spark.conf
+    old = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("40", "false"), strict=True):
+            conf.set(k, v)
+        sc.setJobGroup("components", "")
+        edges = spark.range(30).selectExpr("id AS a", "id + 1 AS b")
+        assert {r["root"] for r in connected_components(edges).collect()} == {0}
+        tracker = sc.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup("components") for i in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for i in stages if (x := tracker.getStageInfo(i)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            conf.set(k, v)
+    assert tasks < 1200
+
+
 def test_suffix_array():
     r = random.Random(2)
     for _ in range(500):
@@ -307,6 +326,12 @@ def test_tokens_and_shards(spark, odd, empty, tmp_path):
     assert token_shards.training_order(empty, str(tmp_path / "empty")).count() == 0
 
 
+def test_checksums_are_made_where_records_are_read(spark, tmp_path):
+    rows = token_shards.training_order(docs_of(spark, [prose(i, 30) for i in range(10)]), str(tmp_path / "s"), seq_len=64, shard_slots=8)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # or each task has two Python workers
+
+
 def test_shards_from_many_partitions_and_after_a_break(spark, tmp_path):
     """Every partition's stream holds whole documents; a second call writes the shards that are missing and no others."""
     d = docs_of(spark, [prose(i, 30 + i % 17) for i in range(60)]).repartition(5)
