@@ -87,6 +87,11 @@ def detect(points: DataFrame) -> DataFrame:
     return events
 
 
+def kinds_of(points: DataFrame, vehicle: str = "car") -> DataFrame:
+    """Events of one vehicle class as ``detect`` finds them, by their rows alone: nothing is looked up at their ends."""
+    return merge_hits(hits(points).filter(F.col("vehicle") == vehicle))
+
+
 def event_rows(events: DataFrame, vehicle: str = "car") -> DataFrame:
     """Rows inside events with their kinds in order of precedence."""
     rows = events.filter(F.col("vehicle") == vehicle).select("case_id", "kind", F.explode(F.sequence("start_index", "end_index")).alias("row_idx"))

@@ -112,7 +112,7 @@ def analyse(points: DataFrame, regions: DataFrame, durations: DataFrame) -> Data
     marked = checkpointed(outliers.mark_outliers(timed))
     lost = checkpointed(damage.intervals(marked, checkpointed(regions), durations))
     whole = checkpointed(damage.apply_marks(marked, lost))
-    found = events.detect(whole).filter("vehicle = 'car'").groupBy("case_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("start", "stop", "accel", "decel")])
+    found = events.kinds_of(whole).groupBy("case_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("start", "stop", "accel", "decel")])
     rows = whole.groupBy("case_id").agg(
         F.count("*").alias("n_rows"), F.count_if(P.has_fix() & ~P.is_synthetic()).alias("n_fixes"), F.count_if(F.coalesce("is_outlier", F.lit(False))).alias("n_outliers"), F.count_if(P.is_synthetic()).alias("n_made")
     )

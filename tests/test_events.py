@@ -52,3 +52,19 @@ def test_slots_and_frame_detail(spark):
     points = track(spark, rows)
     assert sequence.gps_slots(points).count() == 60
     assert sequence.frame_detail(points).first()["frame_detail"] is False
+
+
+def test_kinds_of_one_class_are_found_without_joins(spark):
+    points = speeds(spark, [30, 30, 40, 50, 60, 60, 20, 20, 4, 4, 20, 30])
+    rows = events.kinds_of(points)
+    keys = ["case_id", "kind", "start_index", "end_index", "peak"]
+    got = sorted(map(tuple, rows.select(*keys).collect()))
+    assert got and got == sorted(map(tuple, events.detect(points).filter("vehicle = 'car'").select(*keys).collect()))
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_analysis_joins_counts_only(spark):
+    from fleetlens.plans.queries_kept import queries
+
+    rows = queries()["op_run_analysis"](spark, "/root/testdata/sf0.001")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
