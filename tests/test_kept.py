@@ -90,6 +90,18 @@ def test_damage_of_both_modes_is_replayed_in_one_pass(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_damage_of_any_length_is_replayed_whole(spark):
+    """Of a case's lost seconds 20,000 were made and the rest dropped, which the SQL doesn't do."""
+    points = track(spark, [r for i, r in enumerate(rows(20_210)) if not 100 <= i < 20_200])
+    regions = spark.createDataFrame([(1, 99_500, 20_199_500, "gap")], "case_id long, a long, b long, kind string")
+    lengths = spark.createDataFrame([(1, 20_210.0, False)], "case_id long, duration_sec double, truncated boolean")
+    once = reopen.apply_report(points, reopen.report_of(regions, lengths, "interpolate"))
+    again = reopen.apply_report(once, reopen.report_of(regions, lengths, "interpolate"))
+    at_once = damage.apply_marks(points, damage.intervals(points, regions, lengths))
+    for out in (once, again, at_once):
+        assert [(r["row_idx"], r["start_time_sec"]) for r in out.orderBy("row_idx").collect()] == [(i, float(i)) for i in range(20_210)]
+
+
 def test_replayed_damage_is_the_same_again_and_again(spark, tmp_path):
     points = track(spark, [r for i, r in enumerate(rows(40)) if not 10 <= i < 15])
     regions = spark.createDataFrame([(1, 9500, 14500, "gap")], "case_id long, a long, b long, kind string")
