@@ -116,6 +116,29 @@ def test_rears_of_every_vehicle_by_time(spark):
     assert sorted(got) == sorted(expected) and {(f // 100, r // 100) for f, r in got} == {(2, 41), (22, 41)}
 
 
+def clips(spark, n, step):
+    return spark.range(n).select(F.col("id").alias("clip_id"), (F.col("id") * step % 1200 / 10).alias("start"))
+
+
+def test_pairs_of_all_vehicles_are_all_there_in_lists_of_any_length(spark, monkeypatch):
+    front, rear = clips(spark, 150, 7919), clips(spark, 140, 6007).withColumn("start", F.floor(F.col("start") / 7) * 7 + 0.1)
+    expected = sorted((f[0], r[0], f[1], r[1]) for f in front.collect() for r in rear.collect() if abs(f[1] - r[1]) <= 3)
+    for length, most in ((256, 2_000), (2, 2_000), (2, 5)):
+        monkeypatch.setattr(linkage, "LIST_ROWS", length)
+        monkeypatch.setattr(linkage, "PAIRS_A_TASK", 4_000_000 if length == 256 else 10)
+        monkeypatch.setattr(linkage, "MOST_TASKS", most)
+        got = linkage.rear_by_time(front, rear)
+        assert sorted(tuple(x) for x in got.select("front_id", "rear_id", "front_start", "rear_start").collect()) == expected
+    assert linkage.rear_by_time(front.filter("clip_id < 0"), rear).count() == 0
+
+
+def test_pairs_of_all_vehicles_take_little_space(spark, tmp_path):
+    """Rows came bucket by bucket in any order, so a file held several bytes of each of a number of rows that grows with the square."""
+    linkage.rear_by_time(clips(spark, 4000, 7919), clips(spark, 4000, 6007)).write.parquet(str(tmp_path / "pairs"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < n
+
+
 def test_a_clock_that_is_written_is_not_read_from_texts_again(spark):
     """The clock of every row was parsed once for its filter and once for each use."""
     points = track(spark, [{"t": float(i), "v": 30.0} for i in range(9)]).withColumn("clip_id", F.col("case_id"))
