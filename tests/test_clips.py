@@ -125,6 +125,7 @@ def test_pairs_of_all_vehicles_are_all_there_in_lists_of_any_length(spark, monke
     expected = sorted((f[0], r[0], f[1], r[1]) for f in front.collect() for r in rear.collect() if abs(f[1] - r[1]) <= 3)
     for length, most in ((256, 2_000), (2, 2_000), (2, 5)):
         monkeypatch.setattr(linkage, "LIST_ROWS", length)
+        monkeypatch.setattr(linkage, "FRONT_ROWS", length + 1)
         monkeypatch.setattr(linkage, "PAIRS_A_TASK", 4_000_000 if length == 256 else 10)
         monkeypatch.setattr(linkage, "MOST_TASKS", most)
         got = linkage.rear_by_time(front, rear)
